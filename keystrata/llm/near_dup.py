@@ -27,6 +27,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 components miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 
+#: Heads that a text may be compared with on average for all classes of a bucket to get one before random heads are used up.
+LINEAR = 50
+
 _U = np.uint64
 
 
@@ -141,8 +144,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     Equal texts are one class without comparison. Texts of the same class are connected
     by links of at least ``similarity``. In a bucket each text is compared with one
     head, not with all others. Buckets that still hold several classes choose another
-    head by chance, until a round finds no link; then one head for each class that the
-    bucket still holds, until such a round finds no link either. A null text is a class
+    head by chance, until a round finds no link or few classes are left; then one head for each
+    class that a bucket still holds, until such a round finds no link either. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
     """
@@ -178,6 +181,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         if labelled.isEmpty():
             break
         members = labelled.select("key", "id")
+        work = labelled.groupBy("key").agg((F.count("*") * F.count_distinct("class")).alias("n")).agg(F.sum("n"), F.count("*")).first()
+        every_class = every_class or work[0] <= LINEAR * labelled.count()
         by = ["key", "class"] if every_class else ["key"]
         chance = F.xxhash64("id", "key", F.lit(turn))
         heads = labelled.groupBy(*by).agg(F.min_by(F.struct("id", "class"), chance).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.class").alias("head_class"))

@@ -197,7 +197,8 @@ def test_similarity_and_its_estimate():
 
 
 def brute_classes(ids, texts, least):
-    sets, root = plain_sets(texts), list(range(len(ids)))
+    sets = [as_arrays(x) for x in plain_sets(texts)]
+    root = list(range(len(ids)))
 
     def find(i):
         while root[i] != i:
@@ -206,17 +207,16 @@ def brute_classes(ids, texts, least):
 
     for i, j in itertools.combinations(range(len(ids)), 2):
         same = texts[i] is not None and texts[i] == texts[j]
-        x, y = sets[i], sets[j]
-        if not same and len(x & y) * 2 > least * max(len(x), len(y)):
-            same = max(len(x.keys() & y.keys()) / len(x.keys() | y.keys()), jp(x, y)) >= least
+        if not same and min(len(sets[i][0]), len(sets[j][0])) and np.intersect1d(sets[i][0], sets[j][0], assume_unique=True).size:
+            same = max(near_dup.similarities(sets[i], sets[j])) >= least
         if same:
             a, b = find(i), find(j)
             root[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
     return {(ids[i], ids[find(i)]) for i in range(len(ids))}
 
 
-def test_classes_equal_brute_force(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def test_classes_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.collect()
     got = {tuple(r) for r in near_dup.near_duplicates(docs).collect()}
     assert got == brute_classes([r.doc_id for r in rows], [r.text for r in rows], 0.8)
