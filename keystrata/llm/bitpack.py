@@ -26,7 +26,7 @@ from keystrata.llm.shared import blocks, shared_dir, ship, text_or_empty
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 18
 #: Distinct chunks that a worker remembers; memory only, results are the same.
-REMEMBERED = 700_000
+REMEMBERED = 1_100_000
 
 FILE_SCHEMA = "part int, block int, first_token long, n_docs int, n_tokens long, width int, doc_ids binary, ends binary, payload binary"
 
@@ -70,8 +70,14 @@ class Encoder:
     distinct chunk is encoded once. All other texts are encoded whole.
     """
 
-    #: A space before white space or the end, or white space before a space.
-    ODD = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff] | [\s\x1c-\x1f\x85\u180e\u200b\ufeff]| $|^ ")
+    #: Rarer white space, by any engine's view.
+    RARE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+    #: Spaces next to other white space.
+    ADJACENT = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+
+    def cuttable(self, text: str) -> bool:
+        """Whether each space of ``text`` starts a pre-token."""
+        return bool(self.splits and text) and text[0] != " " and text[-1] != " " and not any(a in text for a in self.ADJACENT) and not self.RARE.search(text) and not any(a in text for a in self.added)
 
     def __init__(self, path: str) -> None:
         import json
@@ -101,25 +107,28 @@ class Encoder:
             some = chunks[at : at + 2000]
             ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(c.encode()) + 1 for c in some])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
-            start = 0
-            for c, end in zip(some, cuts.tolist(), strict=True):
-                self.known[c] = ids[start:end].tobytes()
-                start = end
+            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 4).tolist()
+            raw = ids.tobytes()
+            self.known.update((c, raw[a:b]) for c, a, b in zip(some, [0, *cuts], cuts, strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        cut = [x.split(" ") if self.splits and x and not self.ODD.search(x) and not any(a in x for a in self.added) else None for x in texts]
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                new.update(parts[1:])
-        self._learn([c for c in new.difference(self.known) if c])
-        rest = self.whole([x if parts is None else parts[0] for x, parts in zip(texts, cut, strict=True)])
+        get, heads, cut, missing = self.known.get, [], [], {}
+        for x in texts:
+            parts = x.split(" ") if self.cuttable(x) else [x]
+            heads.append(parts[0])
+            del parts[0]
+            found = list(map(get, parts))
+            if None in found:
+                missing.update((c, None) for c, ids in zip(parts, found, strict=True) if ids is None)
+                cut.append((parts, None))
+            else:
+                cut.append((None, found))
+        self._learn(list(missing))
         get = self.known.__getitem__
-        return [head if parts is None else head + b"".join(map(get, parts[1:])) for head, parts in zip(rest, cut, strict=True)]
+        return [head + b"".join(map(get, parts) if found is None else found) for head, (parts, found) in zip(self.whole(heads), cut, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
