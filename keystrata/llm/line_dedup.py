@@ -64,23 +64,22 @@ def earlier_lines(docs: DataFrame, near: int = NEAR, id_col: str = "doc_id", tex
     front = F.xxhash64(F.substring("line", F.lit(1), F.col("q") * BLOCK))
     # A line with one character less, hashed as a variant whose deleted character was in block q would be.
     own = texts.withColumn("q", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / BLOCK).cast("int"))))
-    own = own.select(F.xxhash64(front, F.substring("line", F.col("q") * BLOCK + 1, F.lit(BLOCK - 1)), F.xxhash64(F.expr(f"substring(line, q * {BLOCK} + {BLOCK})"))).alias("v"), F.col("n").alias("vn"), F.lit(0).alias("place"), "h1", "h2", "n", "first")
+    own = own.select(F.xxhash64(front, F.substring("line", F.col("q") * BLOCK + 1, F.lit(BLOCK - 1)), F.xxhash64(F.expr(f"substring(line, q * {BLOCK} + {BLOCK})"))).alias("v"), F.col("n").alias("vn"), F.lit(0).alias("place"), "first")
     cut = texts.withColumn("q", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    cut = cut.select("h1", "h2", "n", "first", "q", front.alias("before"), F.xxhash64(F.expr(f"substring(line, (q + 1) * {BLOCK} + 1)")).alias("after"), F.substring("line", F.col("q") * BLOCK + 1, F.lit(BLOCK)).alias("mid"))
+    cut = cut.select("n", "first", "q", front.alias("before"), F.xxhash64(F.expr(f"substring(line, (q + 1) * {BLOCK} + 1)")).alias("after"), F.substring("line", F.col("q") * BLOCK + 1, F.lit(BLOCK)).alias("mid"))
     cut = cut.withColumn("i", F.explode(F.sequence(F.lit(1), F.char_length("mid"))))
     variant = F.concat(F.substring("mid", F.lit(1), F.col("i") - 1), F.expr("substring(mid, i + 1)"))
-    deleted = cut.select(F.xxhash64("before", variant, "after").alias("v"), (F.col("n") - 1).alias("vn"), (F.col("q") * BLOCK + F.col("i")).cast("int").alias("place"), "h1", "h2", "n", "first")
-    rows = own.unionByName(deleted)
-    me = F.struct("first", "h1", "h2", "n")
+    deleted = cut.select(F.xxhash64("before", variant, "after").alias("v"), (F.col("n") - 1).alias("vn"), (F.col("q") * BLOCK + F.col("i")).cast("int").alias("place"), "first")
+    # One shuffle by the variant serves both windows. A line's first place names it.
     same_place, same_line = Window.partitionBy("v", "vn", "place"), Window.partitionBy("v", "vn")
-    rows = rows.withColumn("substituted", F.when(F.col("place") > 0, F.min(me).over(same_place)))
-    rows = rows.withColumn("shorter", F.min(F.when(F.col("place") == 0, me)).over(same_line)).withColumn("longer", F.min(F.when(F.col("place") > 0, me)).over(same_line))
+    rows = own.unionByName(deleted)
+    rows = rows.withColumn("shorter", F.min(F.when(F.col("place") == 0, F.col("first"))).over(same_line)).withColumn("longer", F.min(F.when(F.col("place") > 0, F.col("first"))).over(same_line))
+    rows = rows.withColumn("substituted", F.when(F.col("place") > 0, F.min("first").over(same_place)))
     other = F.when(F.col("place") > 0, F.least("substituted", "shorter")).otherwise(F.col("longer"))
-    pairs = rows.withColumn("other", other).where(F.col("other.first") < F.col("first")).groupBy("h1", "h2", "n").agg(F.min("other").alias("other"))
-    named = pairs.select("h1", "h2", "n", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2"), F.col("other.n").alias("on"))
-    mine = texts.select("h1", "h2", "n", "line")
-    theirs = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("n").alias("on"), F.col("line").alias("other_line"), F.col("first").alias("partner"))
-    checked = named.join(mine, ["h1", "h2", "n"]).join(theirs, ["o1", "o2", "on"])
+    named = rows.withColumn("partner", other).where(F.col("partner") < F.col("first")).groupBy("first").agg(F.min("partner").alias("partner"))
+    mine = texts.select("h1", "h2", "n", "line", "first")
+    theirs = texts.select(F.col("line").alias("other_line"), F.col("first").alias("partner"))
+    checked = named.join(mine, "first").join(theirs, "partner")
     verified = checked.where(F.levenshtein("line", "other_line", 1).between(0, 1)).select("h1", "h2", "n", "partner")
     return distinct.select("h1", "h2", "n", "first").join(materialize(verified, "partners"), ["h1", "h2", "n"], "left")
 
