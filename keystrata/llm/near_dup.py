@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keystrata.llm.components import connected_components
 from keystrata.llm.shared import blocks, join_checked, materialize, ship, text_or_empty
@@ -27,8 +28,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 components miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 
-#: Heads that a text may be compared with on average for all classes of a bucket to get one before random heads are used up.
-LINEAR = 50
+#: Bands that the first round looks at, and heads in a bucket in later rounds: a text is compared with so many at most.
+FIRST_BANDS, HEADS = 8, 8
 
 _U = np.uint64
 
@@ -142,51 +143,48 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     """``doc_id, class_id`` for every row; class_id is the smallest id of the documents it is linked to.
 
     Equal texts are one class without comparison. Texts of the same class are connected
-    by links of at least ``similarity``. In a bucket each text is compared with one
-    head, not with all others. Buckets that still hold several classes choose another
-    head by chance, until a round finds no link or few classes are left; then one head for each
-    class that a bucket still holds, until such a round finds no link either. A null text is a class
+    by links of at least ``similarity``. In a bucket each text is compared with heads, not
+    with all others: first with the smallest id, then, in buckets that still hold several
+    classes, with a text of each of up to ``HEADS`` other classes, chosen anew until a round finds no link. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
     """
     ship(docs.sparkSession)
     sketch = materialize(_sketches(docs, id_col, text_col, words, bands, rows), "sketches")
     copies = materialize(sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")).where("rep is not null"), "copies")
-    reps = sketch.where("bands is not null").join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    members = materialize(banded.join(shared.select("key"), "key", "left_semi"), "members")
-    sets = materialize(_sets(docs, members.select("id").distinct(), id_col, text_col, words).dropDuplicates(["id"]), "sets")
-    heads = members.groupBy("key").agg(F.min("id").alias("head"))
-    pairs = members.join(heads, "key").where("id <> head")
-    tried = links = roots = None
-    every_class = False
+    reps = sketch.where("bands is not null").join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "bands")
+    reps = materialize(reps, "reps")
+    # First only some bands, each text with the smallest id of its bucket: this joins the large families.
+    first = reps.select("id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
+    lowest = first.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("hi")).where("head < hi").drop("hi")
+    pairs = first.join(lowest, "key").where("id <> head")
+    tried = links = roots = sets = opened = None
     turn = 0
     while True:
         turn += 1
         pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verify(pairs, sets, similarity), "found")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        new = materialize(_sets(docs, ids if sets is None else ids.join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
+        sets = new if sets is None else sets.unionByName(new)
+        found = materialize(_verify(pairs, sets, similarity), "found")
         links = found if links is None else links.unionByName(found)
         if turn == 1 or not found.isEmpty():
             roots = connected_components(links)
-        elif every_class:
+        elif turn > 2:
             break
-        else:
-            every_class = True
-        labelled = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
-        open_ = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-        labelled = materialize(labelled.join(open_, "key", "left_semi"), "open")
-        if labelled.isEmpty():
+        # Then all bands: up to HEADS classes of each bucket that holds several have a head, chosen by chance.
+        rows = reps.select("id", F.explode("bands").alias("key")) if opened is None else opened.select("id", "key")
+        labelled = rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
+        several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
+        opened = materialize(labelled.join(several, "key", "left_semi"), "open")
+        if opened.isEmpty():
             break
-        members = labelled.select("key", "id")
-        work = labelled.groupBy("key").agg((F.count("*") * F.count_distinct("class")).alias("n")).agg(F.sum("n"), F.count("*")).first()
-        every_class = every_class or work[0] <= LINEAR * labelled.count()
-        by = ["key", "class"] if every_class else ["key"]
-        chance = F.xxhash64("id", "key", F.lit(turn))
-        heads = labelled.groupBy(*by).agg(F.min_by(F.struct("id", "class"), chance).alias("h")).select("key", F.col("h.id").alias("head"), F.col("h.class").alias("head_class"))
-        pairs = labelled.join(heads, "key").where("class <> head_class")
+        chance = F.xxhash64("class", "key", F.lit(turn))
+        one = opened.groupBy("key", "class").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("head"))
+        heads = one.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(chance, "class"))).where(F.col("n") <= HEADS).select("key", "head", F.col("class").alias("head_class"))
+        pairs = opened.join(heads, "key").where("class <> head_class")
     classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     return named.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))

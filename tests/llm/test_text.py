@@ -248,9 +248,10 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert near_dup.near_duplicates(no_docs).collect() == [] and near_dup.one_of_each(no_docs).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 300), (201, 200), (200, 201)]
-    got = {tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long"), one_task=one_task).collect()}
     assert got == {*((i, 0) for i in range(1, 41)), *((i, 100) for i in range(101, 160)), (201, 200)}
 
 
