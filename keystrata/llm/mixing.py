@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.shared import materialize, ordered_positions
 
 #: Rows of a source in a bucket of its shuffled order, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 SHARE, COPIES, SEED = 1.5, 2, "mix"

@@ -28,8 +28,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 components miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 
-#: Bands that the first round looks at, and heads in a bucket in later rounds: a text is compared with so many at most.
-FIRST_BANDS, HEADS = 8, 8
+#: The first rounds look at some bands, with one head in a bucket, and join the large families; the rounds after them look at
+#: all bands, with so many heads in a bucket at most.
+FIRST_ROUNDS, FIRST_BANDS, HEADS = 3, 8, 8
 
 _U = np.uint64
 
@@ -145,7 +146,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     Equal texts are one class without comparison. Texts of the same class are connected
     by links of at least ``similarity``. In a bucket each text is compared with heads, not
     with all others: first with the smallest id, then, in buckets that still hold several
-    classes, with a text of each of up to ``HEADS`` other classes, chosen anew until a round finds no link. A null text is a class
+    classes, with texts chosen by chance, until two rounds find no link. In a bucket of
+    up to ``HEADS`` texts all classes are compared. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
     """
@@ -159,7 +161,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     lowest = first.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("hi")).where("head < hi").drop("hi")
     pairs = first.join(lowest, "key").where("id <> head")
     tried = links = roots = sets = opened = None
-    turn = 0
+    turn = quiet = 0
     while True:
         turn += 1
         pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
@@ -172,19 +174,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         links = found if links is None else links.unionByName(found)
         if turn == 1 or not found.isEmpty():
             roots = connected_components(links)
-        elif turn > 2:
+        quiet = quiet + 1 if found.isEmpty() else 0
+        if turn > FIRST_ROUNDS and quiet > 1:
             break
-        # Then all bands: up to HEADS classes of each bucket that holds several have a head, chosen by chance.
-        rows = reps.select("id", F.explode("bands").alias("key")) if opened is None else opened.select("id", "key")
+        # Buckets that hold several classes, of the first bands for some rounds and then of all.
+        if turn <= FIRST_ROUNDS:
+            rows = reps.select("id", F.explode(F.slice("bands", 1, FIRST_BANDS) if turn < FIRST_ROUNDS else F.col("bands")).alias("key"))
+        else:
+            rows = opened.select("id", "key")
         labelled = rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
         several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
         opened = materialize(labelled.join(several, "key", "left_semi"), "open")
-        if opened.isEmpty():
+        if turn >= FIRST_ROUNDS and opened.isEmpty():
             break
-        chance = F.xxhash64("class", "key", F.lit(turn))
-        one = opened.groupBy("key", "class").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("head"))
-        heads = one.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(chance, "class"))).where(F.col("n") <= HEADS).select("key", "head", F.col("class").alias("head_class"))
-        pairs = opened.join(heads, "key").where("class <> head_class")
+        # First a text by chance of the class with the smallest id, then several texts by chance: all, if there are few.
+        chance = F.xxhash64("id", "key", F.lit(turn))
+        order, most = ([F.col("class"), chance], 1) if turn < FIRST_ROUNDS else ([chance], HEADS)
+        ranked = opened.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order, "id"))).where(F.col("n") <= most)
+        heads = ranked.select("key", F.col("id").alias("head"), F.col("class").alias("head_class"))
+        pairs = opened.join(heads, "key").where("head_class < class")
     classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     return named.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
