@@ -1,4 +1,362 @@
-"""Queries over the driver tables."""
+"""Queries over the driver tables, with the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keystrata.functions.codec import decode_record, encode_record, record_crc
+from keystrata.functions.hashing import fnv1, fnv_hex
+from keystrata.model import reserved_column
+from keystrata.operators import integrity, merge, ratelimit, read, sketches
+from keystrata.plans import compaction
+from keystrata.sources.logs import bulk_load, event_log, order_log, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Versions with the value as text."""
+    return rows.select("key", F.col("value").cast("string").alias("value"), "tombstone", "ts")
+
+
+# SQL pieces. L: the event log; V: its newest versions; R: with levels and segments.
+L = "l as (select 'user' || lpad(user_id::varchar, 6, '0') as key, case when event_type = 'error' then null else event_type end as value, event_type = 'error' as tombstone, event_id::bigint as ts from events)"
+V = f"{L}, v as (select key, value, tombstone, ts from (select *, row_number() over (partition by key order by ts desc) as rn from l) where rn = 1)"
+R = f"{L}, r as (select *, 1 as level, ts // 1000 as segment from l)"
+RUNS = f"{R}, d as (select * from (select *, row_number() over (partition by segment, key order by ts desc) as rn from r) where rn = 1)"
+COLUMNS = "key, value, tombstone, ts"
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The event log as runs of level 1: newest version of each key and segment of 1000 versions."""
+    log = event_log(spark, sf).withColumn("segment", F.floor(F.col("ts") / 1000).cast("long"))
+    newest = log.groupBy("segment", "key").agg(F.max_by(F.struct("value", "tombstone", "ts"), "ts").alias("v"))
+    return newest.select(F.lit(1).alias("level"), "segment", "key", "v.*")
+
+
+def sql_fnv(hexed: str, seed: str | None = None) -> str:
+    """FNV-1 of the bytes in an upper-case hex string, as a HUGEINT."""
+    tail = f"[0::hugeint, 0::hugeint, 0::hugeint, ({seed})::hugeint]" if seed else "[]::hugeint[]"
+    digit = "(instr('0123456789ABCDEF', substr({h}, {i}, 1)) - 1)"
+    byte = f"(16 * {digit.format(h=hexed, i='2 * i + 1')} + {digit.format(h=hexed, i='2 * i + 2')})::hugeint"
+    items = f"list_transform(range(0, length({hexed}) // 2), lambda i: {byte})"
+    return f"list_reduce(list_concat([14695981039346656037::hugeint], {items}, {tail}), lambda a, b: xor((a * 1099511628211::hugeint) % 18446744073709551616::hugeint, b))"
+
+
+def hex_of(text: str) -> str:
+    return f"hex(encode({text}))"
+
+
+SQL_HEX = "lpad(lower(to_hex(({})::uhugeint)), 16, '0')"
+
+
+# --- versions
+
+
+@query(f"with {V} select {COLUMNS} from v")
+def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(merge.latest(event_log(spark, sf)))
+
+
+@query(f"with {V} select {COLUMNS} from v where not tombstone")
+def live_view(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(merge.live(event_log(spark, sf)))
+
+
+@query("select key, value, false as tombstone, ts from (select 'cust' || lpad(o_custkey::varchar, 9, '0') as key, o_orderstatus as value, o_orderkey as ts, row_number() over (partition by o_custkey order by o_orderkey desc) as rn from orders) where rn = 1")
+def latest_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(merge.latest(order_log(spark, sf)))
+
+
+@query(f"with {L}, x as ({' union all '.join(['select key, value, tombstone, ts from l', *(f'select {k!r}, {v}, {t}, {n}' for k, v, t, n in (('user000001', 'null', 'true', 10**9), ('user000002', chr(39) + 'put' + chr(39), 'false', 10**9), ('zz_new', chr(39) + 'put' + chr(39), 'false', 10**9), ('zz_gone', 'null', 'true', 10**9)))])}) select {COLUMNS} from (select *, row_number() over (partition by key order by ts desc) as rn from x) where rn = 1 and not tombstone")
+def put_and_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Writes are appended versions: an overwrite, an insert, a delete, and a blind delete."""
+    rows = [("user000001", None, True, 10**9), ("user000002", bytearray(b"put"), False, 10**9), ("zz_new", bytearray(b"put"), False, 10**9), ("zz_gone", None, True, 10**9)]
+    new = spark.createDataFrame(rows, "key string, value binary, tombstone boolean, ts bigint")
+    return shown(merge.live(event_log(spark, sf).unionByName(new)))
+
+
+@query(f"with {L} select tombstone, count(*) as n, count(distinct key) as keys from l group by tombstone")
+def tombstone_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return event_log(spark, sf).groupBy("tombstone").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+
+
+@query(f"with {L} select max(ts) as newest_ts from l")
+def newest_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.newest_timestamp(event_log(spark, sf))
+
+
+@query(f"with {L} select key, row_number() over (order by first_ts, key) as id from (select key, min(ts) as first_ts from l group by key)")
+def key_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.key_dictionary(event_log(spark, sf))
+
+
+@query("select key, value, max(i) as ts from (select i, 'key' || (i % 50000) as key, 'value' || (i % 50000) as value from range(100000) t(i)) group by key, value")
+def bulk_load_latest(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(merge.latest(bulk_load(spark, 100_000, 50_000))).select("key", "value", "ts")
+
+
+@query(f"with {L} select key, regexp_matches(key, '^(tb_|bf_|cms_|hll_|simhash_)') as reserved from (select key from l union select unnest(['tb_', 'bf_x', 'cms_', 'hll_', 'simhash_a', 'tb', '_bf_']))")
+def reserved_keys(spark: SparkSession, sf: str) -> DataFrame:
+    some = spark.createDataFrame([(k,) for k in ("tb_", "bf_x", "cms_", "hll_", "simhash_a", "tb", "_bf_")], "key string")
+    return event_log(spark, sf).select("key").distinct().unionByName(some).select("key", reserved_column().alias("reserved"))
+
+
+# --- reads
+
+
+@query(f"with {V} select {COLUMNS} from v where key = 'user000042' and not tombstone")
+def get_point(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.get_row(event_log(spark, sf), "user000042"))
+
+
+@query(f"with {V} select {COLUMNS} from v where not tombstone and key in (select 'user' || lpad((c_custkey % 200)::varchar, 6, '0') from customer)")
+def multi_get(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "customer").select(F.concat(F.lit("user"), F.lpad((F.col("c_custkey") % 200).cast("string"), 6, "0")).alias("key"))
+    return shown(read.multi_get(event_log(spark, sf), keys))
+
+
+@query(f"with {V} select {COLUMNS} from v where starts_with(key, 'user00001') order by key limit 4 offset 4")
+def prefix_scan_page(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.prefix_scan(event_log(spark, sf), "user00001", 2, 4))
+
+
+@query(f"with {V} select {COLUMNS} from v where key between 'user000010' and 'user000099' order by key limit 10 offset 10")
+def range_scan_page(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.range_scan(event_log(spark, sf), "user000010", "user000099", 2, 10))
+
+
+@query(f"with {V} select {COLUMNS} from v where key between 'user000010' and 'user000099' and not tombstone order by key limit 10 offset 10")
+def range_scan_live(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.range_scan(event_log(spark, sf), "user000010", "user000099", 2, 10, include_tombstones=False))
+
+
+@query(f"with {V} select {COLUMNS} from v where key between 'user000010' and 'user000099' and false")
+def scan_past_end(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.range_scan(event_log(spark, sf), "user000010", "user000099", 1000, 10))
+
+
+@query(f"with {V} select {COLUMNS} from v where starts_with(key, 'user') and key > 'user000050' order by key limit 20")
+def cursor_next_keyset(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.after(read.prefix_rows(event_log(spark, sf), "user"), "user000050", 20))
+
+
+@query(f"with {V} select {COLUMNS} from v where starts_with(key, 'user0000') order by key")
+def prefix_scan_all(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(read.prefix_rows(event_log(spark, sf), "user0000").orderBy("key"))
+
+
+# --- runs
+
+
+@query(f"with {RUNS} select {COLUMNS} from (select *, row_number() over (partition by key order by ts desc) as rm from d where segment in (0, 1, 2, 3)) where rm = 1")
+def merge_runs_tiered(spark: SparkSession, sf: str) -> DataFrame:
+    """The four oldest runs: two merges of two, and a merge of the results."""
+    r = runs(spark, sf)
+    pick = lambda *s: r.where(F.col("segment").isin(*s))
+    return shown(merge.merge_runs([merge.merge_runs([pick(0), pick(1)]), merge.merge_runs([pick(2), pick(3)])]))
+
+
+@query(f"with {RUNS} select {COLUMNS} from (select *, row_number() over (partition by key order by ts desc) as rm from d where segment in (0, 2, 4)) where rm = 1")
+def merge_runs_leveled(spark: SparkSession, sf: str) -> DataFrame:
+    """One run and the runs of the next level that it overlaps."""
+    r = runs(spark, sf)
+    return shown(merge.merge_runs([r.where("segment = 0"), r.where("segment in (2, 4)")]))
+
+
+@query(f"with {RUNS} select level, segment, min(key) as min_key, max(key) as max_key, count(*) as n from d group by level, segment")
+def segment_zone_map(spark: SparkSession, sf: str) -> DataFrame:
+    return compaction.zone_map(runs(spark, sf))
+
+
+@query(f"with {RUNS}, z as (select level, segment, min(key) as lo, max(key) as hi from d where segment % 2 = 0 or key < 'user000070' group by level, segment) select a.level, a.segment as a, b.segment as b from z a join z b on a.level = b.level and a.segment < b.segment and a.lo <= b.hi and a.hi >= b.lo")
+def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return compaction.overlaps(compaction.zone_map(runs(spark, sf).where("segment % 2 = 0 or key < 'user000070'")))
+
+
+@query(f"with {RUNS}, c as (select level, count(distinct segment) as n from d group by level) select level, n as runs, n >= 2 as tiered_due, n >= 3 * power(2, level - 1) as leveled_due from c")
+def level_compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
+    counts = runs(spark, sf).groupBy("level").agg(F.count_distinct("segment").alias("runs"))
+    return counts.select("level", "runs", (F.col("runs") >= compaction.level_limit(1, "sizetiered", 2)).alias("tiered_due"), (F.col("runs") >= 3 * F.pow(F.lit(2), F.col("level") - 1)).alias("leveled_due"))
+
+
+# --- hashes and sketches
+
+NAMES = "select distinct c_name as item from customer"
+
+
+@query(f"select item, {SQL_HEX.format(sql_fnv(hex_of('item')))} as h from ({NAMES} union all select '' union all select 'žćš')")
+def fnv1_keys(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("item")).distinct()
+    more = spark.createDataFrame([("",), ("žćš",)], "item string")
+    return names.unionByName(more).select("item", fnv_hex(fnv1(F.col("item"))).alias("h"))
+
+
+@query(f"select item, seed, {SQL_HEX.format(sql_fnv(hex_of('item'), 'seed'))} as h from ({NAMES}), (values (1), (2), (3)) s(seed)")
+def fnv1_seeded(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer").select(F.col("c_name").alias("item")).distinct()
+    return names.withColumn("seed", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("item", "seed", fnv_hex(fnv1(F.col("item"), F.col("seed"))).alias("h"))
+
+
+@query("select n, p, floor(-n * ln(p) / power(ln(2), 2))::bigint as m, floor(floor(-n * ln(p) / power(ln(2), 2)) / n * ln(2))::bigint as k from (values (100::bigint, 0.0001::double), (1500, 0.01), (100000, 0.001)) t(n, p)")
+def bloom_params(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(n, p, *sketches.bloom_size(n, p)) for n, p in ((100, 0.0001), (1500, 0.01), (100_000, 0.001))]
+    return spark.createDataFrame(rows, "n long, p double, m long, k long")
+
+
+BLOOM = sketches.bloom_size(1500, 0.01)
+SQL_POSITION = f"({sql_fnv(hex_of('item'), 'seed')} % {BLOOM[0]})::bigint"
+
+
+@query(f"select distinct {SQL_POSITION} as pos from ({NAMES}), range(1, {BLOOM[1] + 1}) s(seed)")
+def bloom_build(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.bloom_build(table(spark, sf, "customer"), "c_name", *BLOOM)
+
+
+@query(f"with b as (select distinct {SQL_POSITION} as pos from ({NAMES} where c_custkey % 3 <> 0), range(1, {BLOOM[1] + 1}) s(seed)), p as (select item, {SQL_POSITION} as pos from ({NAMES}), range(1, {BLOOM[1] + 1}) s(seed)) select item, count(b.pos) = count(*) as present from p left join b using (pos) group by item")
+def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer")
+    return sketches.bloom_probe(sketches.bloom_build(names.where("c_custkey % 3 <> 0"), "c_name", *BLOOM), names, "c_name", *BLOOM)
+
+
+@query("select e as epsilon, d as delta, ceil(exp(1) / e)::bigint as m, ceil(ln(exp(1) / d))::bigint as k from (values (0.01::double, 0.01::double), (0.001, 0.05)) t(e, d)")
+def cms_params(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(e, d, *sketches.cms_size(e, d)) for e, d in ((0.01, 0.01), (0.001, 0.05))], "epsilon double, delta double, m long, k long")
+
+
+CMS = sketches.cms_size(0.01, 0.01)
+SQL_CELLS = f"{L}, i as (select key as item, count(*) as n from l group by key), c as (select item, n, seed - 1 as row, ({sql_fnv(hex_of('item'), 'seed')} % {CMS[0]})::bigint as col from i, range(1, {CMS[1] + 1}) s(seed)), t as (select row, col, sum(n)::bigint as cnt from c group by row, col)"
+
+
+@query(f"with {SQL_CELLS} select row::int as row, col, cnt from t")
+def cms_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.cms_cells(event_log(spark, sf), "key", *CMS)
+
+
+@query(f"with {SQL_CELLS} select item, min(cnt) as freq from c join t using (row, col) group by item")
+def cms_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    log = event_log(spark, sf)
+    return sketches.cms_frequency(sketches.cms_cells(log, "key", *CMS), log, "key", *CMS)
+
+
+SQL_HLL = f"h as (select {sql_fnv(hex_of('item'), '1')} as h from ({NAMES})), g as (select (h // 18014398509481984)::int as bucket, max((case when h = 0 then 64 else bit_count(xor(h, h - 1)) - 1 end) + 1)::int as rank from (select h::hugeint as h from h) group by 1)"
+
+
+@query(f"with {SQL_HLL} select bucket, rank from g")
+def hll_registers(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.hll_registers(table(spark, sf, "customer"), "c_name", 10).select(F.col("bucket").cast("int").alias("bucket"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"with {SQL_HLL}, e as (select 0.7213 / (1 + 1.079 / 1024) * 1024 * 1024 / (sum(power(2.0, -rank)) + 1024 - count(*)) as e, 1024 - count(*) as empty from g) select round(case when e <= 2560 and empty > 0 then 1024 * ln(1024 / empty::double) when e > power(2, 32) / 30 then -power(2, 32) * ln(1 - e / power(2, 32)) else e end, 4)::double as estimate from e")
+def hll_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.hll_estimate(sketches.hll_registers(table(spark, sf, "customer"), "c_name", 10), 10)
+
+
+@query()
+def approx_distinct_native(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").agg(F.approx_count_distinct("c_name").alias("estimate"))
+
+
+_stop = ", ".join(f"'{w}'" for w in sketches.STOP_WORDS)
+_bits = lambda lo, hi: " + ".join(f"(case when sum(n * (2 * ((h // {1 << k}::hugeint) % 2) - 1)) > 0 then {1 << k}::hugeint else 0 end)" for k in range(lo, hi))
+SQL_SIMHASH = f"w as (select doc_id as id, list_filter(string_split(lower(coalesce(text, '')), ' '), lambda x: x not in ({_stop})) as ws from documents), p as (select id, word, count(*) as n from (select id, unnest(case when len(ws) = 0 then [''] else ws end) as word from w) group by id, word), u as (select word, {sql_fnv(hex_of('word'))} as h from (select distinct word from p)), f as (select id, ({_bits(0, 64)}) as fp from p join u using (word) group by id)"
+
+
+@query(f"with {SQL_SIMHASH} select id, {SQL_HEX.format('fp')} as fingerprint from f")
+def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return sketches.simhash(table(spark, sf, "documents"), "doc_id", "text").select("id", fnv_hex(F.struct("hi", "lo")).alias("fingerprint"))
+
+
+@query(f"with {SQL_SIMHASH} select a.id as a, b.id as b, bit_count(xor(a.fp, b.fp))::int as distance from f a join f b on b.id = a.id + 1")
+def simhash_hamming_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    f = sketches.simhash(table(spark, sf, "documents"), "doc_id", "text").select("id", F.struct("hi", "lo").alias("fp"))
+    pairs = f.select(F.col("id").alias("a"), F.col("fp").alias("x")).join(f.select(F.col("id").alias("b"), F.col("fp").alias("y")), F.expr("b = a + 1"))
+    return pairs.select("a", "b", sketches.hamming("x", "y").alias("distance"))
+
+
+# --- integrity
+
+_crc_step = "list_reduce([xor({c}, {b}), 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint, 0::hugeint], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384::hugeint) else x // 2 end)".format(c="c", b="b")
+SQL_PAYLOAD = "lpad(upper(to_hex(ts)), 16, '0') || case when tombstone then '01' else '00' end || lpad(upper(to_hex(length(encode(key)::blob::varchar)::bigint)), 16, '0') || {value} || hex(encode(key)) || coalesce(hex(encode(value)), '')"
+IN_LOG = SQL_PAYLOAD.replace("length(encode(key)::blob::varchar)::bigint", "strlen(key)").format(value="lpad(upper(to_hex(coalesce(strlen(value), 0))), 16, '0')")
+IN_RUN = SQL_PAYLOAD.replace("length(encode(key)::blob::varchar)::bigint", "strlen(key)").format(value="case when tombstone then '' else lpad(upper(to_hex(strlen(value))), 16, '0') end")
+
+
+def sql_bytes(hexed: str) -> str:
+    digit = "(instr('0123456789ABCDEF', substr({h}, {i}, 1)) - 1)"
+    return f"list_transform(range(0, length({hexed}) // 2), lambda i: (16 * {digit.format(h=hexed, i='2 * i + 1')} + {digit.format(h=hexed, i='2 * i + 2')})::hugeint)"
+
+
+@query(f"with {L}, x as (select *, {IN_LOG} as p from l) select key, ts, xor(list_reduce(list_concat([4294967295::hugeint], {sql_bytes('p')}), lambda c, b: {_crc_step}), 4294967295::hugeint)::bigint as crc from x")
+def record_crcs(spark: SparkSession, sf: str) -> DataFrame:
+    return event_log(spark, sf).select("key", "ts", record_crc().alias("crc"))
+
+
+@query(f"with {L} select {COLUMNS}, true as crc_ok from l")
+def record_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    return shown_ok(decode_record(event_log(spark, sf).select(encode_record().alias("record"))))
+
+
+def shown_ok(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.col("value").cast("string").alias("value"), "tombstone", "ts", "crc_ok")
+
+
+SQL_LEAVES = f"{RUNS}, e as (select segment, row_number() over (partition by segment order by key, ts) - 1 as idx, {IN_RUN} as p from d), m as (select segment, idx, {SQL_HEX.format(sql_fnv('p', '1'))} as h from e)"
+
+
+@query(f"with {SQL_LEAVES} select segment, idx, h from m")
+def merkle_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    return integrity.merkle_leaves(runs(spark, sf))
+
+
+_empty = SQL_HEX.format(sql_fnv("''", "1"))
+_levels = ", ".join(f"n{k} as (select segment, idx // 2 as idx, case when count(*) = 1 then min(h) else {SQL_HEX.format(sql_fnv('(upper(string_agg(h, {q}{q} order by idx)))'.format(q=chr(39)), '1'))} end as h from n{k - 1} group by segment, idx // 2)" for k in range(1, 11))
+SQL_ROOT = f"{SQL_LEAVES}, s as (select segment, count(*) as n, power(2, ceil(log2(count(*))))::bigint as size from m group by segment), n0 as (select * from m union all select segment, unnest(range(n, size)) as idx, {_empty} as h from s), {_levels}"
+
+
+@query(f"with {SQL_ROOT} select segment, h from n10")
+def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
+    return integrity.merkle_root(integrity.merkle_leaves(runs(spark, sf)), 10)
+
+
+@query(f"with {RUNS}, e as (select segment, row_number() over (partition by segment order by key, ts) - 1 as idx, ts, tombstone from d) select segment, idx from e where ts % 97 = 0 and not tombstone")
+def merkle_corrupted(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaves that differ after the values of some versions were changed."""
+    r = runs(spark, sf)
+    hit = (F.col("ts") % 97 == 0) & ~F.col("tombstone")
+    changed = r.withColumn("value", F.when(hit, F.lit("flipped").cast("binary")).otherwise(F.col("value")))
+    return integrity.corrupted(integrity.merkle_leaves(changed), integrity.merkle_leaves(r))
+
+
+# --- rate limits
+
+PERIOD = 259_200
+
+
+@query(f"""with recursive o as (select user_id, event_id, epoch_us(ts) // 1000000 as t, row_number() over (partition by user_id order by epoch_us(ts) // 1000000, event_id) as rn from events),
+r as (select user_id, event_id, rn, t, 2 as tokens, t as last, true as ok from o where rn = 1
+union all select o.user_id, o.event_id, o.rn, o.t, case when o.t - r.last > {PERIOD} then 2 when r.tokens > 0 then r.tokens - 1 else 0 end, case when o.t - r.last > {PERIOD} then o.t else r.last end, o.t - r.last > {PERIOD} or r.tokens > 0 from r join o on o.user_id = r.user_id and o.rn = r.rn + 1)
+select user_id::varchar as bucket, t as op_ts, event_id as seq, ok as allowed from r""")
+def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    ops = table(spark, sf, "events").select(F.col("user_id").alias("bucket"), F.floor(F.unix_micros(F.col("ts").cast("timestamp_ltz")) / 1_000_000).alias("op_ts"), F.col("event_id").alias("seq"))
+    return ratelimit.token_bucket(ops, 3, PERIOD)
+
+
+@query("select op, cost from (values ('put', 1), ('get', 1), ('delete', 1), ('sketch_write', 1), ('scan', 0), ('iterate', 0), ('sketch_read', 0), ('sketch_delete', 0)) t(op, cost)")
+def operation_costs(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame(list(ratelimit.COST.items()), "op string, cost int")
