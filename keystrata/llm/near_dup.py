@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import blocks, join_checked, materialize, ship, text_or_empty
+from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, ship, text_or_empty
 from keystrata.llm.wordhash import mix, shingles
 
 #: Words in a shingle and least similarity.
@@ -152,7 +152,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
     """
     ship(docs.sparkSession)
-    sketch = materialize(_sketches(docs, id_col, text_col, words, bands, rows), "sketches")
+    spark = docs.sparkSession
+    with batches_of(spark, 1_000):
+        sketch = materialize(_sketches(docs, id_col, text_col, words, bands, rows), "sketches")
     copies = materialize(sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")).where("rep is not null"), "copies")
     reps = sketch.where("bands is not null").join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "bands")
     reps = materialize(reps, "reps")
@@ -168,9 +170,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        new = materialize(_sets(docs, ids if sets is None else ids.join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
+        with batches_of(spark, 500):
+            new = materialize(_sets(docs, ids if sets is None else ids.join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
         sets = new if sets is None else sets.unionByName(new)
-        found = materialize(_verify(pairs, sets, similarity), "found")
+        with batches_of(spark, 250):
+            found = materialize(_verify(pairs, sets, similarity), "found")
         links = found if links is None else links.unionByName(found)
         if turn == 1 or not found.isEmpty():
             roots = connected_components(links)

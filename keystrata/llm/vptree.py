@@ -9,7 +9,6 @@ more and may miss neighbours.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql.window import Window
 from keystrata.llm.shared import ship
 
 #: Vectors in a shard and queries in a block, about.
-SHARD, QUERIES, LEAF = 16_384, 2_048, 48
+SHARD, QUERIES, LEAF = 16_384, 2_048, 256
 
 
 def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -33,23 +32,44 @@ def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _rough(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Distances in one pass; they can differ from ``distances`` in the last digits."""
+    d = rows - query
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
 class VPTree:
-    """A vantage-point tree over the rows of ``points``; ``ids`` must differ."""
+    """A vantage-point tree over the rows of ``points``; ``ids`` must differ.
+
+    Rows are stored in the order of the leaves, each node's vantage point first, so a leaf is a slice.
+    """
 
     def __init__(self, ids: np.ndarray, points: np.ndarray) -> None:
-        self.ids, self.points = ids, np.asfortranarray(points)
         self.nodes: list[tuple] = []
+        self._order: list[np.ndarray] = []
+        self._placed = 0
+        self._points = np.ascontiguousarray(points)
         self.root = self._build(np.arange(len(ids)))
+        order = np.concatenate(self._order)
+        self.ids, self.points = np.asarray(ids)[order], self._points[order]
+        del self._order, self._points
+
+    def _place(self, members: np.ndarray) -> int:
+        at = self._placed
+        self._order.append(members)
+        self._placed += len(members)
+        return at
 
     def _build(self, members: np.ndarray) -> int:
         """Halves are cut by rank, not by value, so equal vectors can't make the tree deep."""
         at = len(self.nodes)
         if len(members) <= LEAF:
-            self.nodes.append((True, members))
+            first = self._place(members)
+            self.nodes.append((True, first, first + len(members)))
             return at
         self.nodes.append(())
-        vantage, rest = members[0], members[1:]
-        d = distances(self.points[rest], self.points[vantage])
+        vantage, rest = self._place(members[:1]), members[1:]
+        d = _rough(self._points[rest], self._points[members[0]])
         order = np.argsort(d, kind="stable")
         half = len(rest) // 2
         near, far = order[:half], order[half:]
@@ -59,38 +79,46 @@ class VPTree:
 
     def search(self, query: np.ndarray, k: int, exclude: int | None = None, factor: float = 1.0) -> list[tuple[float, int]]:
         """The ``k`` nearest as (distance, id), nearest first, ties to the smaller id."""
-        best: list[tuple[float, int]] = []  # heap of (-distance, -id)
-        slack = 1 + 1e-12
-
-        def offer(rows: np.ndarray, d: np.ndarray) -> None:
-            if len(best) == k:
-                close = d <= -best[0][0]
-                rows, d = rows[close], d[close]
-            for dist, row in zip(d.tolist(), rows.tolist(), strict=True):
-                i = int(self.ids[row])
-                if i != exclude:
-                    item = (-dist, -i)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
+        slack = 1 + 1e-9  # rough distances decide what is looked at, exact ones the result
+        rows, found, worst = np.empty(0, np.int64), np.empty(0), np.inf
+
+        def offer(at: np.ndarray, d: np.ndarray) -> None:
+            nonlocal rows, found, worst
+            close = d <= worst * slack
+            if not close.any():
+                return
+            at, d = at[close], d[close]
+            if exclude is not None:
+                own = self.ids[at] == exclude
+                at, d = at[~own], d[~own]
+            rows, found = np.concatenate([rows, at]), np.concatenate([found, d])
+            if len(found) >= k:
+                worst = float(np.partition(found, k - 1)[k - 1])
+                keep = found <= worst * slack
+                rows, found = rows[keep], found[keep]
+                if len(rows) > 4 * k + LEAF:  # many ties: the exact order tells which can stay
+                    best = np.lexsort((self.ids[rows], distances(self.points[rows], query)))[:k]
+                    rows, found = rows[best], found[best]
 
         stack = [(0.0, self.root)]
         while stack:
             bound, at = stack.pop()
-            if len(best) == k and bound * factor > -best[0][0] * slack:
+            if bound * factor > worst * slack:
                 continue
             node = self.nodes[at]
             if node[0]:
-                offer(node[1], distances(self.points[node[1]], query))
+                offer(np.arange(node[1], node[2]), _rough(self.points[node[1] : node[2]], query))
                 continue
             _, vantage, left, near_max, right, far_min, far_max = node
-            d = float(distances(self.points[vantage : vantage + 1], query)[0])
-            offer(np.array([vantage]), np.array([d]))
+            d = _rough(self.points[vantage : vantage + 1], query)
+            offer(np.array([vantage]), d)
+            d = float(d[0])
             below = (max(0.0, d - near_max), left)
             above = (max(0.0, far_min - d, d - far_max), right)
             stack += [above, below] if below[0] <= above[0] else [below, above]
-        return sorted((-d, -i) for d, i in best)
+        exact = distances(self.points[rows], query)
+        best = np.lexsort((self.ids[rows], exact))[:k]
+        return [(float(exact[b]), int(self.ids[rows[b]])) for b in best]
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, factor: float = 1.0, shard: int = SHARD, query_block: int = QUERIES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
