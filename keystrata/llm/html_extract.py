@@ -187,7 +187,10 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
     """
     ship(pages.sparkSession)
     h = F.col(html_col)
-    sample = pages.where(h.rlike(r"(?i)<(article|main)\b")).select(h.alias("_html")).orderBy(F.xxhash64("_html"), "_html").limit(LABELLED_PAGES)
+    marked = pages.where(h.rlike(r"(?i)<(article|main)\b")).select(h.alias("_html"), F.xxhash64(h).alias("_h"))
+    # Only hashes are sorted; equal pages count once.
+    last = marked.select("_h").distinct().orderBy("_h").limit(LABELLED_PAGES).agg(F.max("_h")).first()[0]
+    sample = marked.where(F.col("_h") <= F.lit(last)).dropDuplicates(["_h"]).select("_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
