@@ -28,9 +28,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 components miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 
-#: The first rounds look at some bands, with one head in a bucket, and join the large families; the rounds after them look at
-#: all bands, with so many heads in a bucket at most.
-FIRST_ROUNDS, FIRST_BANDS, HEADS = 3, 8, 8
+#: Buckets of up to so many texts have all their classes compared; in larger ones a round compares with some heads.
+HEADS = 8
+#: Heads in larger buckets: in the first round and the second those of highest degree, in the rounds after them texts by chance.
+CENTRAL, BY_CHANCE = (1, 3), 2
 
 _U = np.uint64
 
@@ -145,8 +146,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     Equal texts are one class without comparison. Texts of the same class are connected
     by links of at least ``similarity``. In a bucket each text is compared with heads, not
-    with all others: first with the smallest id, then, in buckets that still hold several
-    classes, with texts chosen by chance, until two rounds find no link. In a bucket of
+    with all others: first with the texts that share most buckets, then, in buckets that still
+    hold several classes, with texts by chance, until a round finds no link. In a bucket of
     up to ``HEADS`` texts all classes are compared. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
@@ -158,15 +159,27 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     copies = materialize(sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")).where("rep is not null"), "copies")
     reps = sketch.where("bands is not null").join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "bands")
     reps = materialize(reps, "reps")
-    # First only some bands, each text with the smallest id of its bucket: this joins the large families.
-    first = reps.select("id", F.explode(F.slice("bands", 1, FIRST_BANDS)).alias("key"))
-    lowest = first.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("hi")).where("head < hi").drop("hi")
-    pairs = first.join(lowest, "key").where("id <> head")
-    tried = links = roots = sets = opened = None
-    turn = quiet = 0
+    banded = reps.select("id", F.explode("bands").alias("key"))
+    held = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    shared = materialize(banded.join(held, "key"), "shared")
+    # A text that shares buckets with many is near the middle of its family, so it links more of them than any other.
+    shared = materialize(shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("id", "key", "degree"), "degrees")
+    tried = links = roots = sets = None
+    turn = 0
     while True:
         turn += 1
-        pairs = pairs.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+        labelled = shared.withColumn("class", F.col("id")) if roots is None else shared.join(roots, "id", "left").select("id", "key", "degree", F.coalesce("root", "id").alias("class"))
+        several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+        opened = materialize(labelled.join(several, "key"), "open")
+        if turn > 1 and opened.isEmpty():
+            break
+        # The order says which texts come first as heads: window limits keep HEADS of a bucket before any shuffle.
+        order, most = (F.col("degree").desc(), CENTRAL[turn - 1]) if turn <= len(CENTRAL) else (F.xxhash64("id", "key", F.lit(turn)), BY_CHANCE)
+        ranked = opened.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(order, "id"))).where(F.col("n") <= HEADS)
+        whole = (F.col("size") <= HEADS) & F.lit(turn > 1)
+        heads = ranked.where((F.col("n") <= most) | whole).select("key", F.col("id").alias("head"), F.col("class").alias("head_class"))
+        met = opened.join(heads, "key").where((F.col("head_class") != F.col("class")) & (~whole | (F.col("head") < F.col("id"))))
+        pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -176,27 +189,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         with batches_of(spark, 250):
             found = materialize(_verify(pairs, sets, similarity), "found")
         links = found if links is None else links.unionByName(found)
-        if turn == 1 or not found.isEmpty():
+        none = found.isEmpty()
+        if turn == 1 or not none:
             roots = connected_components(links)
-        quiet = quiet + 1 if found.isEmpty() else 0
-        if turn > FIRST_ROUNDS and quiet > 1:
-            break
-        # Buckets that hold several classes, of the first bands for some rounds and then of all.
-        if turn <= FIRST_ROUNDS:
-            rows = reps.select("id", F.explode(F.slice("bands", 1, FIRST_BANDS) if turn < FIRST_ROUNDS else F.col("bands")).alias("key"))
-        else:
-            rows = opened.select("id", "key")
-        labelled = rows.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("class"))
-        several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-        opened = materialize(labelled.join(several, "key", "left_semi"), "open")
-        if turn >= FIRST_ROUNDS and opened.isEmpty():
+        if none and turn > len(CENTRAL):
             break
-        # First a text by chance of the class with the smallest id, then several texts by chance: all, if there are few.
-        chance = F.xxhash64("id", "key", F.lit(turn))
-        order, most = ([F.col("class"), chance], 1) if turn < FIRST_ROUNDS else ([chance], HEADS)
-        ranked = opened.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order, "id"))).where(F.col("n") <= most)
-        heads = ranked.select("key", F.col("id").alias("head"), F.col("class").alias("head_class"))
-        pairs = opened.join(heads, "key").where("head_class < class")
     classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")
     return named.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
