@@ -20,8 +20,8 @@ from keystrata.llm.shared import materialize
 #: window of 13, one of the masks fits somewhere between them (tests check all pairs).
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 WINDOW, SIMILARITY = 13, 0.8
-#: Hashes of the benchmark up to which it is broadcast; beyond, hashes are shuffled.
-BROADCAST_SEEDS = 400_000
+#: Hashes and bytes of the benchmark up to which it is broadcast; beyond, hashes are shuffled.
+BROADCAST_SEEDS, BROADCAST_BYTES = 400_000, 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -78,13 +78,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), tokens(F.col("text")).alias("_item"))
     placed = _positions(items, "_item", "_item_at")
     seeds = materialize(placed.select("item_id", "_item_at", F.posexplode(_seeds("_item", "_item_at")).alias("_mask", "_hash")).where("_hash is not null"), "seeds")
-    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
+    few = seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS and (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES
     words = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("_words"))
     if few:
-        # One row for each hash, so that each position probes once; the item's words come along.
-        sides = seeds.join(items, "item_id").groupBy("_hash", "_mask").agg(F.array_agg(F.struct("item_id", "_item_at", "_item")).alias("_found"))
+        # One row for each hash, so that each position probes once. Words are sent once for each item, not for each of its hashes.
+        sides = seeds.groupBy("_hash", "_mask").agg(F.array_agg(F.struct("item_id", "_item_at")).alias("_found"))
         seen = _positions(words, "_words", "_at").select("doc_id", "_words", "_at", F.posexplode(_seeds("_words", "_at")).alias("_mask", "_hash"))
         hits = seen.join(F.broadcast(sides), ["_hash", "_mask"]).select("doc_id", "_words", "_at", "_mask", F.inline("_found"))  # at most BROADCAST_SEEDS
+        hits = hits.join(F.broadcast(items.where(F.size("_item") >= WINDOW)), "item_id")  # at most BROADCAST_BYTES of text
         hits = hits.where(~_earlier_seed()).withColumn("_diagonal", F.col("_at") - F.col("_item_at"))
     else:
         seen = _positions(words, "_words", "_at").select("doc_id", "_at", F.posexplode(_seeds("_words", "_at")).alias("_mask", "_hash")).where("_hash is not null")
