@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 5
 HEADS = 8
 #: Heads in larger buckets: in the first round and the second those of highest degree, in the rounds after them texts by chance.
 CENTRAL, BY_CHANCE = (1, 3), 2
+#: Rounds by chance in a row that find no link before the search ends.
+QUIET = 2
 
 _U = np.uint64
 
@@ -147,7 +149,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     Equal texts are one class without comparison. Texts of the same class are connected
     by links of at least ``similarity``. In a bucket each text is compared with heads, not
     with all others: first with the texts that share most buckets, then, in buckets that still
-    hold several classes, with texts by chance, until a round finds no link. In a bucket of
+    hold several classes, with texts by chance, until ``QUIET`` rounds in a row find no link. In a bucket of
     up to ``HEADS`` texts all classes are compared. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
@@ -165,7 +167,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     # A text that shares buckets with many is near the middle of its family, so it links more of them than any other.
     shared = materialize(shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("id", "key", "degree"), "degrees")
     tried = links = roots = sets = None
-    turn = 0
+    turn = quiet = 0
     while True:
         turn += 1
         labelled = shared.withColumn("class", F.col("id")) if roots is None else shared.join(roots, "id", "left").select("id", "key", "degree", F.coalesce("root", "id").alias("class"))
@@ -192,7 +194,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         none = found.isEmpty()
         if turn == 1 or not none:
             roots = connected_components(links)
-        if none and turn > len(CENTRAL):
+        quiet = quiet + 1 if none and turn > len(CENTRAL) else 0
+        if quiet == QUIET:
             break
     classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")
