@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; anything larger is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch, about: rows are whole texts, and each task holds several copies of a batch.
+BATCH_BYTES = 8 << 20
 
 _shipped: set[str] = set()
 
@@ -27,7 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
+    """Send this package to the Python workers, once for each Spark context, and cut the session's Arrow batches by ``BATCH_BYTES``.
+
+    The size that the cluster's own configuration gives, if any, stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, text_col, 4 << 20):
             s = [model.score(x or "") for x in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
