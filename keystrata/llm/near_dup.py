@@ -32,8 +32,10 @@ BANDS, ROWS = 32, 5
 HEADS = 8
 #: Heads in larger buckets: in the first round and the second those of highest degree, in the rounds after them texts by chance.
 CENTRAL, BY_CHANCE = (1, 3), 2
-#: Rounds by chance in a row that find no link before the search ends.
+#: Rounds by chance in a row that find no link before all that is left is compared.
 QUIET = 2
+#: Texts of a bucket that meet as many others in one task, and bytes and pairs that a cell of the last comparison holds, about.
+BLOCK, CELL_BYTES, CELL_PAIRS = 500, 16 << 20, 100_000
 
 _U = np.uint64
 
@@ -143,6 +145,76 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double, keep boolean").where("keep").drop("keep")
 
 
+def _untried(opened: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes that share a bucket of ``opened`` (id, key, class) and are not in ``tried``.
+
+    Only texts outside a bucket's largest class meet all others, so at most half of the pairs that meet
+    are of one class. Both sides are dealt in blocks, so a task makes at most about ``BLOCK`` squared pairs.
+    """
+    counts = opened.groupBy("key", "class").agg(F.count("*").alias("n"))
+    top = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("size"))
+    cut = top.select("key", F.col("top.class").alias("largest"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("rows"), F.ceil(F.col("size") / BLOCK).alias("columns"))
+    dealt = opened.select("id", "key", "class").join(cut, "key")
+    some = dealt.where("class <> largest").selectExpr("key", "id as x", "class as x_class", "pmod(xxhash64(id, 1), rows) as i", "explode(sequence(0L, columns - 1)) as j")
+    every = dealt.selectExpr("key", "id as y", "class as y_class", "explode(sequence(0L, rows - 1)) as i", "pmod(xxhash64(id, 2), columns) as j")
+    met = some.join(every, ["key", "i", "j"]).where("x_class <> y_class")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _links_of(i: int, others: np.ndarray, s: list[np.ndarray], w: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of ``others``, whether either similarity to set ``i`` is at least ``least``: as ``similarities``, but many at once."""
+    x, wx, n = s[i], w[i], np.array([len(s[j]) for j in others])
+    y, wy = np.concatenate([s[j] for j in others]), np.concatenate([w[j] for j in others]).astype(float)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    hit = x[at] == y
+    both = np.add.reduceat(hit.astype(np.int64), starts)
+    out = both / (len(x) + n - both) >= least
+    # The probability Jaccard similarity is at most the sum of the smaller shares; with weights of 1 it is the plain one.
+    total = np.add.reduceat(wy, starts)
+    most = np.add.reduceat(np.where(hit, np.minimum(wx[at] / wx.sum(), wy / np.repeat(total, n)), 0.0), starts)
+    for k in np.flatnonzero(~out & (most >= least - 1e-9) & ((total > n) | (wx.sum() > len(x)))):
+        out[k] = similarities((x, wx), (s[others[k]], w[others[k]]))[0] >= least
+    return out
+
+
+def _compare_all(pairs: DataFrame, ids: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that are linked, as by ``_verify``, for many pairs of few texts; ``ids`` has ``id, pairs``, the pairs of each.
+
+    Pairs are dealt to cells of a grid by the hashes of both texts, and a set is sent once to each cell that has a pair of it.
+    """
+
+    def run(some: pa.Table, texts: pa.Table) -> pa.Table:
+        id_ = texts.column("id").to_numpy()
+        s = [np.frombuffer(x, np.uint64) for x in texts.column("s").to_pylist()]
+        w = [np.frombuffer(x, np.uint32) for x in texts.column("w").to_pylist()]
+        order = np.argsort(id_)
+        a, b = (order[np.searchsorted(id_, some.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
+        degree = np.bincount(np.concatenate([a, b]), minlength=len(id_))
+        swap = degree[a] < degree[b]
+        hub, other = np.where(swap, b, a), np.where(swap, a, b)
+        by = np.argsort(hub, kind="stable")
+        hub, other = hub[by], other[by]
+        keep = np.zeros(len(hub), bool)
+        size = np.cumsum(np.array([len(x) for x in s])[other])
+        # A new group for each hub, and within it for each half million shingles.
+        edges = np.flatnonzero((hub[1:] != hub[:-1]) | (size[1:] >> 19 != size[:-1] >> 19)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(hub)], strict=True):
+            keep[lo:hi] = _links_of(hub[lo], other[lo:hi], s, w, least)
+        one, two = id_[hub[keep]], id_[other[keep]]
+        return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+    sized = ids.join(sets.select("id", (F.length("s") + F.length("w")).alias("bytes")), "id")
+    total, count, most = sized.agg(F.sum(F.col("pairs") * F.col("bytes")), F.sum("pairs") / 2, F.max("pairs")).first()
+    load = max(total / CELL_BYTES, count / CELL_PAIRS)
+    # Neither a cell of the grid nor a cell in the row of the text with most pairs should hold more than its load.
+    grid = max(1, int(np.ceil(np.sqrt(2 * load))), int(np.ceil(load * most / count)))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
+    dealt = pairs.withColumn("cell", F.least(side("a"), side("b")) * grid + F.greatest(side("a"), side("b")))
+    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(F.col("cell").alias("place"), "id", "s", "w")
+    return dealt.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id`` for every row; class_id is the smallest id of the documents it is linked to.
 
@@ -150,7 +222,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     by links of at least ``similarity``. In a bucket each text is compared with heads, not
     with all others: first with the texts that share most buckets, then, in buckets that still
     hold several classes, with texts by chance, until ``QUIET`` rounds in a row find no link. In a bucket of
-    up to ``HEADS`` texts all classes are compared. A null text is a class
+    up to ``HEADS`` texts all classes are compared. At the end all texts that still share a bucket, but not a
+    class, are compared, so each pair that shares a bucket is in one class or was compared. A null text is a class
     of its own, as is each text without words unless it is equal to another. Rows that
     repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
     """
@@ -196,6 +269,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             roots = connected_components(links)
         quiet = quiet + 1 if none and turn > len(CENTRAL) else 0
         if quiet == QUIET:
+            rest = materialize(_untried(opened, tried), "rest")
+            if rest.isEmpty():
+                break
+            ids = materialize(rest.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs")), "rest_ids")
+            with batches_of(spark, 500):
+                new = materialize(_sets(docs, ids.select("id").join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
+            with batches_of(spark, 250):
+                found = materialize(_compare_all(rest, ids, sets.unionByName(new), similarity), "found")
+            if not found.isEmpty():
+                roots = connected_components(links.select("a", "b").unionByName(found))
             break
     classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")

@@ -242,6 +242,44 @@ def test_chains_of_copies(spark):
     assert Counter(c for _, c in got)[0] > 100
 
 
+def test_single_partners_in_large_buckets(spark):
+    """Edited copies of one text, most of them similar to few others or to none: no bucket's pairs may be left out."""
+    rng, n = np.random.default_rng(8), 700
+    docs = []
+    for d in range(n):
+        x = [f"{LOREM[i % len(LOREM)]}{i}" for i in range(200)]
+        for at in rng.integers(0, 200, 4):
+            x[at] = f"new{d}x{at}"
+        docs.append((d, " ".join(x)))
+    who, what, count = wordhash.shingles([x for _, x in docs], 5)
+    assert count.max() == 1  # both similarities are the same
+    values, column = np.unique(what, return_inverse=True)
+    has = np.zeros((n, len(values)), np.float32)
+    has[who, column] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    near = both / (size[:, None] + size[None, :] - both) >= 0.8
+    root = np.arange(n)
+    while (low := np.where(near, root[None, :], n).min(axis=1)).tolist() != root.tolist():
+        root = low
+    got = dict(near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert [got[d] for d in range(n)] == root.tolist()
+    assert len(set(root.tolist())) > 50
+
+
+def test_many_comparisons_at_once_equal_single_ones():
+    rng = np.random.default_rng(9)
+    sets = []
+    for d in range(60):
+        ids = np.unique(np.concatenate([np.arange(50), rng.integers(0, 70, rng.integers(1, 15))]).astype(np.uint64))
+        sets.append((ids[rng.random(len(ids)) < 0.95], None))
+        sets[-1] = (sets[-1][0], rng.integers(1, 2 + d % 3, len(sets[-1][0])).astype(np.uint32))
+    s, w = zip(*sets, strict=True)
+    for i in range(60):
+        want = [max(near_dup.similarities(sets[i], sets[j])) >= 0.8 for j in range(60)]
+        assert near_dup._links_of(i, np.arange(60), s, w, 0.8).tolist() == want
+        assert i or 0 < sum(want) < 60
+
+
 def test_one_of_each(spark, odd_docs, no_docs):
     kept = near_dup.one_of_each(odd_docs)
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6] and kept.columns == odd_docs.columns
