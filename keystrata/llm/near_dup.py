@@ -286,10 +286,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` with the smallest id of each class only, and one row of those that repeat an id."""
+    """``docs`` with the smallest id of each class only, and one row of those that repeat an id; all rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, **options)
     named = materialize(found, "classes")
     gone = named.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
     kept = join_checked(docs, gone, [id_col], "left_anti").select(*docs.columns)
     repeated = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if repeated else kept.dropDuplicates([id_col])
+    if repeated:
+        return kept
+    # Rows without an id are not one document.
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

@@ -286,6 +286,12 @@ def test_one_of_each(spark, odd_docs, no_docs):
     assert near_dup.near_duplicates(no_docs).collect() == [] and near_dup.one_of_each(no_docs).collect() == []
 
 
+def test_rows_without_an_id_stay_beside_a_repeated_id(spark):
+    docs = [(1, "one text"), (1, "one text"), (2, "one text"), (None, "some other text"), (None, "yet another one"), (None, None)]
+    kept = near_dup.one_of_each(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([docs[0], *docs[3:]])
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 300), (201, 200), (200, 201)]
