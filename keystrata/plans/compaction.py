@@ -45,3 +45,14 @@ def leveled(runs: list[Run], level: int) -> list[Run]:
         return []
     first = own[0]
     return [first, *(r for r in runs if r.level == level + 1 and r.min_key <= first.max_key and r.max_key >= first.min_key)]
+
+
+def leveled_groups(runs: list[Run], level: int) -> list[list[Run]]:
+    """The runs that end in each run of the next level when all of the level's runs, oldest first, are merged as ``leveled`` says."""
+    below = [(r, [r]) for r in runs if r.level == level + 1]
+    for run in sorted((r for r in runs if r.level == level), key=lambda r: r.segment):
+        group = leveled([run, *(r for r, _ in below)], level)
+        parts = [run, *(p for r, ps in below if r in group for p in ps)]
+        merged = Run(level + 1, min(p.segment for p in parts), min(r.min_key for r in group), max(r.max_key for r in group))
+        below = [*((r, ps) for r, ps in below if r not in group), (merged, parts)]
+    return [ps for _, ps in below]

@@ -179,6 +179,31 @@ def merge_runs_leveled(spark: SparkSession, sf: str) -> DataFrame:
     return shown(merge.merge_runs([r.where("segment = 0"), r.where("segment in (2, 4)")]))
 
 
+def compacted(r: DataFrame, plan: Callable[[list[compaction.Run]], list[list[compaction.Run]]]) -> DataFrame:
+    """All runs of level 1 after the merges of a plan: each group as a run of level 2 named by its oldest segment, and the runs in no group."""
+    zones = [compaction.Run(z["level"], z["segment"], z["min_key"], z["max_key"]) for z in compaction.zone_map(r).collect()]  # one row a run
+    moves = [(run.segment, 2, min(g.segment for g in group)) for group in plan(zones) for run in group]
+    to = r.sparkSession.createDataFrame(moves, "segment long, new_level int, run long")
+    placed = r.join(F.broadcast(to), "segment", "left").withColumn("level", F.coalesce("new_level", "level")).withColumn("segment", F.coalesce("run", "segment"))
+    merged = placed.groupBy("level", "segment", "key").agg(F.max_by(F.struct("value", "tombstone", "ts"), "ts").alias("v")).select("level", "segment", "key", "v.*")
+    return merged.withColumn("value", F.col("value").cast("string"))
+
+
+SQL_COMPACTED = f"m as (select h.level, h.run as segment, {COLUMNS}, row_number() over (partition by h.run, key order by ts desc) as rm from d join h using (segment)) select level, segment, {COLUMNS} from m where rm = 1"
+
+
+@query(f"with {RUNS}, s as (select segment, row_number() over (order by segment) - 1 as i, count(*) over () as n from (select distinct segment from d)), g as (select segment, i < n - n % 2 as whole, i // 2 as grp from s), h as (select segment, case when whole then 2 else 1 end as level, case when whole then min(segment) over (partition by grp) else segment end as run from g), {SQL_COMPACTED}")
+def compact_all_tiered(spark: SparkSession, sf: str) -> DataFrame:
+    """Every full group of two runs merged, over the whole log; a run left over stays on level 1."""
+    return compacted(runs(spark, sf), lambda zones: compaction.tiered(zones, 1, 2))
+
+
+@query(f"with {RUNS}, z as (select segment, min(key) as lo, max(key) as hi from d group by segment), p as (select *, max(hi) over (order by lo, segment rows between unbounded preceding and 1 preceding) as seen from z), o as (select segment, sum(case when seen is null or lo > seen then 1 else 0 end) over (order by lo, segment rows unbounded preceding) as island from p), h as (select segment, 2 as level, min(segment) over (partition by island) as run from o), {SQL_COMPACTED}")
+def compact_all_leveled(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run of level 1, oldest first, merged with the runs of level 2 that it overlaps, over the whole log."""
+    return compacted(runs(spark, sf), lambda zones: compaction.leveled_groups(zones, 1))
+
+
 @query(f"with {RUNS} select level, segment, min(key) as min_key, max(key) as max_key, count(*) as n from d group by level, segment")
 def segment_zone_map(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.zone_map(runs(spark, sf))

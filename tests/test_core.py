@@ -42,6 +42,25 @@ def test_query_equals_oracle(spark, con, name):
     assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("name", ["compact_all_tiered", "compact_all_leveled"])
+def test_every_run_is_compacted(spark, name):
+    """At a scale with ten runs: equal to the SQL, and no newest version is missing."""
+    folder, c = "/root/testdata/sf0.01", duckdb.connect()
+    c.sql(f"create view events as select * from '{folder}/events.parquet'")
+    got = queries.QUERIES[name](spark, folder).cache()
+    columns = sorted(got.columns)
+    want = c.sql(f"select {', '.join(columns)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want))
+    whole = queries.QUERIES["latest_per_key"](spark, folder)
+    assert whole.exceptAll(got.select(whole.columns)).count() == 0
+
+
+def test_leveled_groups():
+    runs = [compaction.Run(1, 3, "d", "e"), compaction.Run(1, 1, "a", "b"), compaction.Run(1, 2, "m", "n"), compaction.Run(2, 0, "b", "d"), compaction.Run(2, 9, "x", "z")]
+    groups = compaction.leveled_groups(runs, 1)
+    assert sorted(sorted(r.segment for r in g) for g in groups) == [[0, 1, 3], [2], [9]]
+
+
 def test_newest_wins_and_tombstones(spark):
     df = log(spark, [("k", "a", 1), ("k", "c", 3), ("k", None, 2)])
     assert bytes(read.get(df, "k")) == b"c"
