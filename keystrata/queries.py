@@ -214,6 +214,12 @@ def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.overlaps(compaction.zone_map(runs(spark, sf).where("segment % 2 = 0 or key < 'user000070'")))
 
 
+@query(f"with {RUNS}, z as (select level, segment, min(key) as lo, max(key) as hi from d group by level, segment) select a.level, a.segment as a, b.segment as b from z a join z b on a.level = b.level and a.segment < b.segment and a.lo <= b.hi and a.hi >= b.lo")
+def segment_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Overlaps of all runs, with all their keys."""
+    return compaction.overlaps(compaction.zone_map(runs(spark, sf)))
+
+
 @query(f"with {RUNS}, c as (select level, count(distinct segment) as n from d group by level) select level, n as runs, n >= 2 as tiered_due, n >= 3 * power(2, level - 1) as leveled_due from c")
 def level_compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
     counts = runs(spark, sf).groupBy("level").agg(F.count_distinct("segment").alias("runs"))
@@ -259,6 +265,19 @@ def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.bloom_probe(sketches.bloom_build(names.where("c_custkey % 3 <> 0"), "c_name", *BLOOM), names, "c_name", *BLOOM)
 
 
+SQL_SIZED = f"c as (select count(*) as n from ({NAMES} where c_custkey % 3 <> 0)), s as (select floor(-n * ln(0.01) / power(ln(2), 2))::bigint as m, floor(floor(-n * ln(0.01) / power(ln(2), 2)) / n * ln(2))::bigint as k from c)"
+SQL_SIZED_POSITION = f"({sql_fnv(hex_of('item'), 'seed')} % m)::bigint"
+
+
+@query(f"with {SQL_SIZED}, q as (select item, {SQL_SIZED_POSITION} as pos from (select item, m, unnest(range(1, k + 1)) as seed from ({NAMES}), s)), b as (select distinct pos from q where item in ({NAMES} where c_custkey % 3 <> 0)) select item, count(b.pos) = count(*) as present from q left join b using (pos) group by item")
+def bloom_probe_sized(spark: SparkSession, sf: str) -> DataFrame:
+    """A filter sized by the count of the distinct names that it holds; a third of the names is absent."""
+    names = table(spark, sf, "customer")
+    held = names.where("c_custkey % 3 <> 0")
+    size = sketches.bloom_size(held.select("c_name").distinct().count(), 0.01)
+    return sketches.bloom_probe(sketches.bloom_build(held, "c_name", *size), names, "c_name", *size)
+
+
 @query("select e as epsilon, d as delta, ceil(exp(1) / e)::bigint as m, ceil(ln(exp(1) / d))::bigint as k from (values (0.01::double, 0.01::double), (0.001, 0.05)) t(e, d)")
 def cms_params(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(e, d, *sketches.cms_size(e, d)) for e, d in ((0.01, 0.01), (0.001, 0.05))], "epsilon double, delta double, m long, k long")

@@ -55,6 +55,19 @@ def test_every_run_is_compacted(spark, name):
     assert whole.exceptAll(got.select(whole.columns)).count() == 0
 
 
+def test_all_overlaps_and_a_filter_of_the_right_size(spark):
+    """At sf0.1, where the fixed filter is nearly full. FNV's seeds give positions close together, so a filter of the right size is far above its rate of 0.01."""
+    folder = "/root/testdata/sf0.1"
+    zones = queries.QUERIES["segment_zone_map"](spark, folder).collect()
+    want = {(a.segment, b.segment) for a in zones for b in zones if a.segment < b.segment and a.min_key <= b.max_key and a.max_key >= b.min_key}
+    assert {(r.a, r.b) for r in queries.QUERIES["segment_overlap_all"](spark, folder).collect()} == want
+    absent = logs.table(spark, folder, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("item")).distinct()
+    share = lambda name: queries.QUERIES[name](spark, folder).join(absent, "item").agg(F.avg(F.col("present").cast("int"))).first()[0]
+    old, new = share("bloom_probe"), share("bloom_probe_sized")
+    print("absent names present:", old, new, "overlaps:", queries.QUERIES["segment_overlap"](spark, folder).count(), len(want))
+    assert new < 0.2 < 0.5 < old
+
+
 def test_leveled_groups():
     runs = [compaction.Run(1, 3, "d", "e"), compaction.Run(1, 1, "a", "b"), compaction.Run(1, 2, "m", "n"), compaction.Run(2, 0, "b", "d"), compaction.Run(2, 9, "x", "z")]
     groups = compaction.leveled_groups(runs, 1)
