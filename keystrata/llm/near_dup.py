@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, ship, text_or_empty
+from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, ship
 from keystrata.llm.wordhash import mix, shingles
 
 #: Words in a shingle and least similarity.
@@ -28,14 +27,10 @@ WORDS, SIMILARITY = 5, 0.8
 #: 32 bands of 5 components miss a pair of similarity 0.8 with probability 3e-6.
 BANDS, ROWS = 32, 5
 
-#: Buckets of up to so many texts have all their classes compared; in larger ones a round compares with some heads.
-HEADS = 8
-#: Heads in larger buckets: in the first round and the second those of highest degree, in the rounds after them texts by chance.
-CENTRAL, BY_CHANCE = (1, 3), 2
-#: Rounds by chance in a row that find no link before all that is left is compared.
-QUIET = 2
-#: Texts of a bucket that meet as many others in one task, and bytes and pairs that a cell of the last comparison holds, about.
-BLOCK, CELL_BYTES, CELL_PAIRS = 500, 16 << 20, 100_000
+#: In buckets of up to so many texts all pairs are compared; members of larger ones meet in blocks.
+FEW = 8
+#: Texts and bytes of sets that one side of a block holds, about.
+BLOCK, BLOCK_BYTES = 500, 8 << 20
 
 _U = np.uint64
 
@@ -93,25 +88,47 @@ def similarities(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarr
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``id, h1, h2, bands``; bands is null for texts without words, all but id are null for null texts."""
+    """``id, h1, h2, bands``; bands is null for texts without words, all but id are null for null texts.
+
+    A text in which a shingle occurs twice also gets the bands of its unweighted set, so that
+    candidates are found for plain Jaccard similarity too; for other texts both are the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", 2 << 20):
             texts = b.column("_text").to_pylist()
+            n, size = len(texts), bands * rows
             who, what, count = shingles(texts, words)
-            has = np.bincount(who, minlength=len(texts)) > 0
-            keys = band_keys(signatures(who, what, count.astype(float), len(texts), bands * rows), bands, rows)
-            offsets = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].ravel()), mask=pa.array(~has))
+            has = np.bincount(who, minlength=n) > 0
+            keys = band_keys(signatures(who, what, count.astype(float), n, size), bands, rows)
+            again = np.bincount(who, count > 1, n) > 0
+            some = again[who]
+            number = np.cumsum(again) - 1
+            plain = band_keys(signatures(number[who[some]], what[some], np.ones(some.sum()), int(again.sum()), size), bands, rows)
+            out = [np.concatenate([k, plain[number[i]]]) if again[i] else k for i, k in enumerate(keys) if has[i]]
+            ends = np.cumsum(np.where(has, np.where(again, 2 * bands, bands), 0))
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int64)])), mask=pa.array(~has))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), column], ["id", "h1", "h2", "bands"])
 
-    t = F.col(text_col)
-    hashed = docs.select(F.col(id_col).cast("long").alias("id"), F.when(t.isNotNull(), F.xxhash64(t)).alias("h1"), F.when(t.isNotNull(), F.xxhash64(F.lit(7), t)).alias("h2"), t.alias("_text"))
+    h1, h2 = _hashes(text_col)
+    hashed = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("_text"))
     return hashed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id, s, w``: the shingles and weights of the texts in ``ids`` as binaries; one row for each id."""
+def _hashes(text_col: str) -> tuple[Column, Column]:
+    """Two hashes that together name a text; null for null."""
+    t = F.col(text_col)
+    return F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit(7), t))
+
+
+def _id_or_flag(name: str) -> tuple[Column, Column]:
+    """An id as a key that joins match where it is null too."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")).alias("rep"), F.col(name).isNull().alias("none")
+
+
+def _sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``id, s, w``: shingles and weights, as binaries, of ``texts`` (id, h1, h2, rep), each found in a row whose id is ``rep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "_text", 4 << 20):
@@ -122,8 +139,10 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
             w = [count[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary()), pa.array(w, pa.binary())], ["id", "s", "w"])
 
-    wanted = join_checked(docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("_text")), ids, ["id"], "left_semi")
-    return wanted.mapInArrow(run, "id long, s binary, w binary")
+    h1, h2 = _hashes(text_col)
+    there = docs.select(h1.alias("h1"), h2.alias("h2"), *_id_or_flag(id_col), F.col(text_col).alias("_text"))
+    wanted = join_checked(there, texts.select("id", "h1", "h2", *_id_or_flag("rep")), ["h1", "h2", "rep", "none"])
+    return wanted.select("id", "_text").mapInArrow(run, "id long, s binary, w binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -145,154 +164,197 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, similarity double, keep boolean").where("keep").drop("keep")
 
 
-def _untried(opened: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different classes that share a bucket of ``opened`` (id, key, class) and are not in ``tried``.
-
-    Only texts outside a bucket's largest class meet all others, so at most half of the pairs that meet
-    are of one class. Both sides are dealt in blocks, so a task makes at most about ``BLOCK`` squared pairs.
+class _Cell:
+    """Texts that meet in one task: each row is compared with all columns by a few passes over the columns' shingles."""
+
+    def __init__(self, s: list[np.ndarray], w: list[np.ndarray], columns: np.ndarray) -> None:
+        self.s, self.w, self.columns = s, w, columns
+        self.length = np.array([len(x) for x in s])
+        self.total = np.array([x.sum() for x in w], float)
+        self.kinds, codes = np.unique(np.concatenate(s), return_inverse=True)
+        ends = np.cumsum(self.length)
+        own = [codes[e - n : e] for e, n in zip(ends.tolist(), self.length.tolist(), strict=True)]
+        self.own = own
+        self.codes = np.concatenate([own[j] for j in columns])
+        self.starts = np.concatenate([[0], np.cumsum(self.length[columns])[:-1]])
+        share = [w[j] / self.total[j] for j in columns]
+        self.share = np.concatenate(share)
+        self.mark = np.zeros(len(self.kinds))
+
+    def linked(self, i: int, least: float, known: np.ndarray) -> np.ndarray:
+        """The columns whose plain or probability Jaccard similarity to text ``i`` is at least ``least``, those ``known`` aside."""
+        self.mark[self.own[i]] = self.w[i] / self.total[i]
+        here = self.mark[self.codes]
+        self.mark[self.own[i]] = 0
+        both = np.add.reduceat((here > 0).astype(np.int64), self.starts)
+        n = self.length[self.columns]
+        link = both / (self.length[i] + n - both) >= least
+        # The probability Jaccard similarity is at most the sum of the smaller shares; with weights of 1 it is the plain one.
+        most = np.add.reduceat(np.minimum(here, self.share), self.starts)
+        repeats = (self.total > self.length)[self.columns] | (self.total[i] > self.length[i])
+        for k in np.flatnonzero(~link & ~known & repeats & (most >= least - 1e-9)):
+            j = self.columns[k]
+            link[k] = similarities((self.s[i], self.w[i]), (self.s[j], self.w[j]))[0] >= least
+        return self.columns[link & ~known]
+
+
+def spanning_links(table: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Links that join the classes of a block: each text flagged ``row`` was compared with each that isn't.
+
+    ``table`` has ``id, class, row, s, w``. Pairs of one class, or of classes that a link has joined, need no link.
     """
-    counts = opened.groupBy("key", "class").agg(F.count("*").alias("n"))
-    top = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("size"))
-    cut = top.select("key", F.col("top.class").alias("largest"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("rows"), F.ceil(F.col("size") / BLOCK).alias("columns"))
-    dealt = opened.select("id", "key", "class").join(cut, "key")
-    some = dealt.where("class <> largest").selectExpr("key", "id as x", "class as x_class", "pmod(xxhash64(id, 1), rows) as i", "explode(sequence(0L, columns - 1)) as j")
-    every = dealt.selectExpr("key", "id as y", "class as y_class", "explode(sequence(0L, rows - 1)) as i", "pmod(xxhash64(id, 2), columns) as j")
-    met = some.join(every, ["key", "i", "j"]).where("x_class <> y_class")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-
-
-def _links_of(i: int, others: np.ndarray, s: list[np.ndarray], w: list[np.ndarray], least: float) -> np.ndarray:
-    """For each of ``others``, whether either similarity to set ``i`` is at least ``least``: as ``similarities``, but many at once."""
-    x, wx, n = s[i], w[i], np.array([len(s[j]) for j in others])
-    y, wy = np.concatenate([s[j] for j in others]), np.concatenate([w[j] for j in others]).astype(float)
-    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    hit = x[at] == y
-    both = np.add.reduceat(hit.astype(np.int64), starts)
-    out = both / (len(x) + n - both) >= least
-    # The probability Jaccard similarity is at most the sum of the smaller shares; with weights of 1 it is the plain one.
-    total = np.add.reduceat(wy, starts)
-    most = np.add.reduceat(np.where(hit, np.minimum(wx[at] / wx.sum(), wy / np.repeat(total, n)), 0.0), starts)
-    for k in np.flatnonzero(~out & (most >= least - 1e-9) & ((total > n) | (wx.sum() > len(x)))):
-        out[k] = similarities((x, wx), (s[others[k]], w[others[k]]))[0] >= least
-    return out
-
-
-def _compare_all(pairs: DataFrame, ids: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that are linked, as by ``_verify``, for many pairs of few texts; ``ids`` has ``id, pairs``, the pairs of each.
-
-    Pairs are dealt to cells of a grid by the hashes of both texts, and a set is sent once to each cell that has a pair of it.
+    ids, classes, is_row = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "row"))
+    _, at, text = np.unique(ids, return_index=True, return_inverse=True)
+    s = [np.frombuffer(x, np.uint64) for x in table.column("s").take(pa.array(at)).to_pylist()]
+    w = [np.frombuffer(x, np.uint32) for x in table.column("w").take(pa.array(at)).to_pylist()]
+    ids, classes = ids[at], classes[at]
+    rows, columns = np.unique(text[is_row]), np.unique(text[~is_row])
+    if not len(rows) or not len(columns):
+        return []
+    cell, links = _Cell(s, w, columns), []
+    for i in rows:
+        for j in cell.linked(i, least, classes[columns] == classes[i]):
+            if classes[i] != classes[j]:
+                links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                classes[classes == max(classes[i], classes[j])] = min(classes[i], classes[j])
+    return links
+
+
+def _meet(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
+    """Links (a, b) among texts of different classes in ``members`` (hub, id); None where no group holds several classes.
+
+    Only texts outside a group's largest class meet all of its texts. Both sides are dealt in blocks, so a task holds
+    two blocks at most, whatever the size of a group, and what comes out are links, not pairs.
     """
 
-    def run(some: pa.Table, texts: pa.Table) -> pa.Table:
-        id_ = texts.column("id").to_numpy()
-        s = [np.frombuffer(x, np.uint64) for x in texts.column("s").to_pylist()]
-        w = [np.frombuffer(x, np.uint32) for x in texts.column("w").to_pylist()]
-        order = np.argsort(id_)
-        a, b = (order[np.searchsorted(id_, some.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-        degree = np.bincount(np.concatenate([a, b]), minlength=len(id_))
-        swap = degree[a] < degree[b]
-        hub, other = np.where(swap, b, a), np.where(swap, a, b)
-        by = np.argsort(hub, kind="stable")
-        hub, other = hub[by], other[by]
-        keep = np.zeros(len(hub), bool)
-        size = np.cumsum(np.array([len(x) for x in s])[other])
-        # A new group for each hub, and within it for each half million shingles.
-        edges = np.flatnonzero((hub[1:] != hub[:-1]) | (size[1:] >> 19 != size[:-1] >> 19)) + 1
-        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(hub)], strict=True):
-            keep[lo:hi] = _links_of(hub[lo], other[lo:hi], s, w, least)
-        one, two = id_[hub[keep]], id_[other[keep]]
-        return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
-
-    sized = ids.join(sets.select("id", (F.length("s") + F.length("w")).alias("bytes")), "id")
-    total, count, most = sized.agg(F.sum(F.col("pairs") * F.col("bytes")), F.sum("pairs") / 2, F.max("pairs")).first()
-    load = max(total / CELL_BYTES, count / CELL_PAIRS)
-    # Neither a cell of the grid nor a cell in the row of the text with most pairs should hold more than its load.
-    grid = max(1, int(np.ceil(np.sqrt(2 * load))), int(np.ceil(load * most / count)))
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(grid))
-    dealt = pairs.withColumn("cell", F.least(side("a"), side("b")) * grid + F.greatest(side("a"), side("b")))
-    wanted = dealt.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets, "id").select(F.col("cell").alias("place"), "id", "s", "w")
-    return dealt.groupBy("cell").cogroup(wanted.groupBy("place")).applyInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id`` for every row; class_id is the smallest id of the documents it is linked to.
-
-    Equal texts are one class without comparison. Texts of the same class are connected
-    by links of at least ``similarity``. In a bucket each text is compared with heads, not
-    with all others: first with the texts that share most buckets, then, in buckets that still
-    hold several classes, with texts by chance, until ``QUIET`` rounds in a row find no link. In a bucket of
-    up to ``HEADS`` texts all classes are compared. At the end all texts that still share a bucket, but not a
-    class, are compared, so each pair that shares a bucket is in one class or was compared. A null text is a class
-    of its own, as is each text without words unless it is equal to another. Rows that
-    repeat an id are the same document. Rows without an id get the class of their equal texts, or null.
+    def run(table: pa.Table) -> pa.Table:
+        links = spanning_links(table, least)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    named = members.join(roots, "id", "left").select("hub", "id", F.coalesce("root", "id").alias("class"))
+    open_ = named.groupBy("hub").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("hub")
+    sized = materialize(named.join(open_, "hub").join(sets.select("id", (F.length("s") + F.length("w")).alias("bytes")), "id"), "open")
+    if sized.isEmpty():
+        return None
+    classes = sized.groupBy("hub", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    groups = classes.groupBy("hub").agg(F.max(F.struct("n", "class", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
+    cut = groups.select(
+        "hub",
+        F.col("top.class").alias("largest"),
+        parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("down"),
+        parts(F.col("n"), F.col("bytes")).alias("across"),
+    )
+    dealt = sized.drop("bytes").join(cut, "hub")
+    rows = dealt.where("class <> largest").selectExpr(
+        "hub", "id", "class", "true as row", "pmod(xxhash64(id, 1), down) as i", "explode(sequence(0L, across - 1)) as j"
+    )
+    columns = dealt.selectExpr(
+        "hub", "id", "class", "false as row", "explode(sequence(0L, down - 1)) as i", "pmod(xxhash64(id, 2), across) as j"
+    )
+    met = rows.unionByName(columns).join(sets, "id").select("hub", "i", "j", "id", "class", "row", "s", "w")
+    return materialize(met.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long"), "met")
+
+
+def _classes(docs: DataFrame, similarity: float, words: int, bands: int, rows: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, h1, h2`` of every row, and ``h1, h2, rep, class_id, first`` of each different text.
+
+    ``rep`` is the smallest id that a text occurs under, ``class_id`` the smallest of its class, and ``first``
+    whether it is the text that stands for its class.
     """
-    ship(docs.sparkSession)
     spark = docs.sparkSession
+    ship(spark)
     with batches_of(spark, 1_000):
         sketch = materialize(_sketches(docs, id_col, text_col, words, bands, rows), "sketches")
-    copies = materialize(sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")).where("rep is not null"), "copies")
-    reps = sketch.where("bands is not null").join(copies.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "bands")
-    reps = materialize(reps, "reps")
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    held = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    shared = materialize(banded.join(held, "key"), "shared")
+    # Equal texts are counted before they meet, and a number names each text, whatever ids it occurs under.
+    copies = sketch.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    copies = materialize(copies.select(F.monotonically_increasing_id().alias("no"), "h1", "h2", "rep"), "copies")
+    named = copies.select(F.col("no").alias("text"), "h1", "h2", *_id_or_flag("rep"))
+    reps = sketch.where("bands is not null").select("h1", "h2", *_id_or_flag("id"), "bands").join(named, ["h1", "h2", "rep", "none"])
+    banded = reps.select(F.col("text").alias("id"), F.explode(F.array_distinct("bands")).alias("key")).distinct()
+    banded = materialize(banded, "banded")
+    held = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
+    shared = materialize(banded.join(held.where("lo < hi").select("key", "n"), "key"), "shared")
+    few, many = shared.where(F.col("n") <= FEW).select("key", "id"), shared.where(F.col("n") > FEW)
+    close = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
     # A text that shares buckets with many is near the middle of its family, so it links more of them than any other.
-    shared = materialize(shared.join(shared.groupBy("id").agg(F.sum("n").alias("degree")), "id").select("id", "key", "degree"), "degrees")
-    tried = links = roots = sets = None
-    turn = quiet = 0
-    while True:
-        turn += 1
-        labelled = shared.withColumn("class", F.col("id")) if roots is None else shared.join(roots, "id", "left").select("id", "key", "degree", F.coalesce("root", "id").alias("class"))
-        several = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-        opened = materialize(labelled.join(several, "key"), "open")
-        if turn > 1 and opened.isEmpty():
-            break
-        # The order says which texts come first as heads: window limits keep HEADS of a bucket before any shuffle.
-        order, most = (F.col("degree").desc(), CENTRAL[turn - 1]) if turn <= len(CENTRAL) else (F.xxhash64("id", "key", F.lit(turn)), BY_CHANCE)
-        ranked = opened.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(order, "id"))).where(F.col("n") <= HEADS)
-        whole = (F.col("size") <= HEADS) & F.lit(turn > 1)
-        heads = ranked.where((F.col("n") <= most) | whole).select("key", F.col("id").alias("head"), F.col("class").alias("head_class"))
-        met = opened.join(heads, "key").where((F.col("head_class") != F.col("class")) & (~whole | (F.col("head") < F.col("id"))))
-        pairs = met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        with batches_of(spark, 500):
-            new = materialize(_sets(docs, ids if sets is None else ids.join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
-        sets = new if sets is None else sets.unionByName(new)
-        with batches_of(spark, 250):
-            found = materialize(_verify(pairs, sets, similarity), "found")
-        links = found if links is None else links.unionByName(found)
-        none = found.isEmpty()
-        if turn == 1 or not none:
-            roots = connected_components(links)
-        quiet = quiet + 1 if none and turn > len(CENTRAL) else 0
-        if quiet == QUIET:
-            rest = materialize(_untried(opened, tried), "rest")
-            if rest.isEmpty():
-                break
-            ids = materialize(rest.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs")), "rest_ids")
-            with batches_of(spark, 500):
-                new = materialize(_sets(docs, ids.select("id").join(sets, "id", "left_anti"), id_col, text_col, words).dropDuplicates(["id"]), "sets")
-            with batches_of(spark, 250):
-                found = materialize(_compare_all(rest, ids, sets.unionByName(new), similarity), "found")
-            if not found.isEmpty():
-                roots = connected_components(links.select("a", "b").unionByName(found))
-            break
-    classes = copies.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
-    named = sketch.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left")
-    return named.select(F.col("id").alias("doc_id"), F.coalesce("class_id", "id").alias("class_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:  # noqa: ANN003
-    """``docs`` with the smallest id of each class only, and one row of those that repeat an id; all rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    named = materialize(found, "classes")
-    gone = named.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = join_checked(docs, gone, [id_col], "left_anti").select(*docs.columns)
-    repeated = named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    if repeated:
-        return kept
-    # Rows without an id are not one document.
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = many.join(degrees, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).getField("id").alias("hub"))
+    members = materialize(many.join(hubs, "key").select("hub", "id").distinct(), "members")
+    spokes = members.where("hub <> id").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))
+    pairs = materialize(close.unionByName(spokes).distinct(), "pairs")
+    wanted = copies.withColumnRenamed("no", "id").join(shared.select("id").distinct(), "id")
+    with batches_of(spark, 500):
+        sets = materialize(_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["id"]), "sets")
+    with batches_of(spark, 250):
+        links = materialize(_verify(pairs, sets, similarity), "found").select("a", "b")
+    roots = connected_components(links)
+    with batches_of(spark, 250):
+        more = _meet(members, roots, sets, similarity)
+    if more is not None:
+        roots = connected_components(links.unionByName(more))
+    rooted = copies.join(roots.select(F.col("id").alias("no"), "root"), "no", "left").withColumn("root", F.coalesce("root", "no"))
+    rooted = materialize(rooted, "rooted")
+    chosen = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "h1", "h2")).alias("top"))
+    texts = rooted.join(chosen, "root").select(
+        "h1", "h2", "rep", F.col("top.rep").alias("class_id"), ((F.col("top.h1") == F.col("h1")) & (F.col("top.h2") == F.col("h2"))).alias("first")
+    )
+    return sketch.select("id", "h1", "h2"), materialize(texts, "classes")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    words: int = WORDS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, class_id`` for every row; class_id is the smallest id of the documents it is linked to.
+
+    Equal texts are one class without comparison. Texts of the same class are connected by links: pairs whose
+    probability Jaccard or plain Jaccard similarity is at least ``similarity``. All pairs that share a bucket are
+    compared unless they are in one class already: in buckets of up to ``FEW`` texts as pairs; in larger ones first
+    with the bucket's hub (the text that shares most buckets), and then, where several classes are left, those
+    outside the largest class with all others, in blocks of bounded size. So nothing but the signatures decides
+    what is found, and rows are linear in a bucket's size; comparisons within blocks are not, where many texts share
+    a bucket without being similar.
+
+    A null text is a class of its own, as is each text without words unless it is equal to another; whole texts are
+    read, however long. Rows that repeat an id with different texts are judged by their texts, each row for itself.
+    Rows without an id are compared like all others; a class none of whose rows has an id has a null class_id. An
+    empty table gives no rows. Other columns are ignored.
+    """
+    each, texts = _classes(docs, similarity, words, bands, rows, id_col, text_col)
+    found = each.join(texts.select("h1", "h2", "class_id"), ["h1", "h2"], "left")
+    return found.select(F.col("id").alias("doc_id"), F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+
+
+def one_of_each(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    words: int = WORDS,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with one row of each class: the one with the smallest id, those without an id last.
+
+    Rows with a null text all stay. Of rows that repeat both id and text one stays. All columns stay as they are.
+    """
+    each, texts = _classes(docs, similarity, words, bands, rows, id_col, text_col)
+    keys = ["h1", "h2", "rep", "none"]
+    kept = texts.where("first").select("h1", "h2", *_id_or_flag("rep"))
+    mine = each.where("h1 is not null").select("h1", "h2", *_id_or_flag("id"))
+    gone = materialize(mine.join(kept, keys, "left_anti").distinct(), "gone")
+    again = materialize(mine.join(kept, keys, "left_semi").groupBy(*keys).count().where("count > 1").select(*keys), "again")
+    # The row as one struct, so that no name of its columns matters.
+    h1, h2 = _hashes(text_col)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"), *_id_or_flag(id_col))
+    out = join_checked(packed, gone, keys, "left_anti")
+    if not again.isEmpty():
+        repeated = join_checked(out, again, keys, "left_semi").dropDuplicates(keys)
+        out = join_checked(out, again, keys, "left_anti").unionByName(repeated)
+    return out.select("row.*")

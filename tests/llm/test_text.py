@@ -266,18 +266,67 @@ def test_single_partners_in_large_buckets(spark):
     assert len(set(root.tolist())) > 50
 
 
-def test_many_comparisons_at_once_equal_single_ones():
+def test_a_block_compares_as_single_pairs_do():
     rng = np.random.default_rng(9)
     sets = []
     for d in range(60):
         ids = np.unique(np.concatenate([np.arange(50), rng.integers(0, 70, rng.integers(1, 15))]).astype(np.uint64))
-        sets.append((ids[rng.random(len(ids)) < 0.95], None))
-        sets[-1] = (sets[-1][0], rng.integers(1, 2 + d % 3, len(sets[-1][0])).astype(np.uint32))
-    s, w = zip(*sets, strict=True)
+        ids = ids[rng.random(len(ids)) < 0.95]
+        sets.append((ids, rng.integers(1, 2 + d % 3, len(ids)).astype(np.uint32)))
+    s, w = map(list, zip(*sets, strict=True))
+    cell = near_dup._Cell(s, w, np.arange(60))
     for i in range(60):
-        want = [max(near_dup.similarities(sets[i], sets[j])) >= 0.8 for j in range(60)]
-        assert near_dup._links_of(i, np.arange(60), s, w, 0.8).tolist() == want
-        assert i or 0 < sum(want) < 60
+        want = [j for j in range(60) if max(near_dup.similarities(sets[i], sets[j])) >= 0.8]
+        assert cell.linked(i, 0.8, np.zeros(60, bool)).tolist() == want
+        assert i or 0 < len(want) < 60
+
+
+def test_classes_of_a_thousand_documents_equal_all_pairs(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    who, what, count = wordhash.shingles([r.text for r in rows], 5)
+    _, code = np.unique(what, return_inverse=True)
+    n, mark = len(rows), np.zeros(code.max() + 1)
+    size, cut = np.bincount(who, minlength=n), np.searchsorted(who, np.arange(n + 1))
+    assert n >= 1_000
+    root = list(range(n))
+    for i in range(n):
+        own = slice(cut[i], cut[i + 1])
+        mark[code[own]] = 1
+        both = np.bincount(who, mark[code], n)
+        mark[code[own]] = 0
+        for j in np.flatnonzero((both > 0) & (np.arange(n) < i)).tolist():
+            other = slice(cut[j], cut[j + 1])
+            near = both[j] / (size[i] + size[j] - both[j]) >= 0.8
+            if near or max(count[own].max(), count[other].max()) > 1 and near_dup.similarities((what[own], count[own]), (what[other], count[other]))[0] >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r == max(a, b) else r for r in root]
+    first = {}
+    for i, r in enumerate(rows):
+        if r.text is not None and not size[i]:
+            root[i] = first.setdefault(r.text, i)
+    got = dict(near_dup.near_duplicates(docs).collect())
+    assert [got[r.doc_id] for r in rows] == [rows[i].doc_id for i in root]
+
+
+def test_texts_under_one_id_are_judged_each_for_itself(spark):
+    x, y = " ".join(LOREM), " ".join(reversed(LOREM))
+    docs = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (None, y + " other"), (None, "no copy"), (4, None), (4, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h1", "2 as rep", "3 as row")
+    got = sorted(((r.doc_id or 0, r.class_id or 0) for r in near_dup.near_duplicates(table).collect()))
+    assert got == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    kept = near_dup.one_of_each(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, x), (1, y), (0, "no copy"), (4, ""), (4, "")])
+
+
+def test_one_repeated_line_does_not_hide_a_copy(spark):
+    """Plain Jaccard similarity 0.9 and more, probability Jaccard similarity far less."""
+    text = " ".join(f"w{i}" for i in range(400))
+    line = " ".join(f"again{i}" for i in range(20))
+    docs = [(d, " ".join([text, *[line] * times, f"d{d}"])) for d, times in enumerate([1, 30, 60, 90])]
+    got = dict(near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == dict.fromkeys(range(4), 0)
 
 
 def test_one_of_each(spark, odd_docs, no_docs):
