@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, ship
+from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, packed, ship, text_hashes
 from keystrata.llm.wordhash import mix, shingles
 
 #: Words in a shingle and least similarity.
@@ -111,17 +111,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
             column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*out, np.empty(0, np.int64)])), mask=pa.array(~has))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), column], ["id", "h1", "h2", "bands"])
 
-    h1, h2 = _hashes(text_col)
+    h1, h2 = text_hashes(text_col)
     hashed = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("_text"))
     return hashed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
 
 
-def _hashes(text_col: str) -> tuple[Column, Column]:
-    """Two hashes that together name a text; null for null."""
-    t = F.col(text_col)
-    return F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit(7), t))
-
-
 def _id_or_flag(name: str) -> tuple[Column, Column]:
     """An id as a key that joins match where it is null too."""
     return F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")).alias("rep"), F.col(name).isNull().alias("none")
@@ -139,7 +133,7 @@ def _sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words:
             w = [count[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.binary()), pa.array(w, pa.binary())], ["id", "s", "w"])
 
-    h1, h2 = _hashes(text_col)
+    h1, h2 = text_hashes(text_col)
     there = docs.select(h1.alias("h1"), h2.alias("h2"), *_id_or_flag(id_col), F.col(text_col).alias("_text"))
     wanted = join_checked(there, texts.select("id", "h1", "h2", *_id_or_flag("rep")), ["h1", "h2", "rep", "none"])
     return wanted.select("id", "_text").mapInArrow(run, "id long, s binary, w binary")
@@ -350,10 +344,9 @@ def one_of_each(
     mine = each.where("h1 is not null").select("h1", "h2", *_id_or_flag("id"))
     gone = materialize(mine.join(kept, keys, "left_anti").distinct(), "gone")
     again = materialize(mine.join(kept, keys, "left_semi").groupBy(*keys).count().where("count > 1").select(*keys), "again")
-    # The row as one struct, so that no name of its columns matters.
-    h1, h2 = _hashes(text_col)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), h1.alias("h1"), h2.alias("h2"), *_id_or_flag(id_col))
-    out = join_checked(packed, gone, keys, "left_anti")
+    h1, h2 = text_hashes(text_col)
+    rep, none = _id_or_flag(id_col)
+    out = join_checked(packed(docs, h1=h1, h2=h2, rep=rep, none=none), gone, keys, "left_anti")
     if not again.isEmpty():
         repeated = join_checked(out, again, keys, "left_semi").dropDuplicates(keys)
         out = join_checked(out, again, keys, "left_anti").unionByName(repeated)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,9 +16,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-#: Rows that a side may have to be broadcast; anything larger is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a side may have, by a count and its columns' widths, to be broadcast; anything larger is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch, about: rows are whole texts, and each task holds several copies of a batch.
 BATCH_BYTES = 8 << 20
 
@@ -56,24 +58,38 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, local mode) a temporary folder is set instead.
+    Only where it is unset and Spark runs in one process (tests, local mode) a temporary folder is set instead; on
+    a cluster each machine would write to a disk of its own, so there it must be set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="keystrata-shared-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path of its own under the shared folder."""
+    return f"{shared_dir(spark)}/keystrata/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
+
+
+def delete_tables(spark: SparkSession) -> None:
+    """Delete all that this application has written under the shared folder, once its results are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/keystrata/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    This cuts the lineage, and the rows survive lost executors. The tables can be
-    deleted when the results that came from them have been written.
+    This cuts the lineage, and the rows survive lost executors. ``delete_tables`` deletes
+    them when the results that came from them have been written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/keystrata/{uuid.uuid4().hex}/{label}"
+    path = new_path(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,13 +106,30 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join, broadcasting ``small`` only if a count shows at most ``limit`` rows."""
-    if small.limit(limit + 1).count() <= limit:
+def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join, broadcasting ``small`` only if a count shows that its rows take at most ``limit`` bytes.
+
+    Its columns must have a fixed width; those that haven't rule a broadcast out.
+    """
+    kinds = [f.dataType for f in small.schema.fields]
+    fixed = all(isinstance(k, (NumericType, BooleanType)) for k in kinds)
+    rows = limit // (32 + 8 * len(kinds))  # a row's header and its values, beside the hash table's own words
+    if fixed and small.limit(rows + 1).count() <= rows:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
 
 
+def text_hashes(name: str = "text") -> tuple[Column, Column]:
+    """Two 64-bit hashes that together name a text; null for null."""
+    t = F.col(name)
+    return F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit(7), t))
+
+
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Each row as a struct ``row`` beside ``keys``, so that no column name of ``df`` can clash with another."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in keys.items()))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
