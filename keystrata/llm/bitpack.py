@@ -3,8 +3,8 @@
 Format: a Parquet data set whose rows are blocks of whole documents in ascending
 ``doc_id`` order. ``part`` numbers the files, ``block`` the blocks in a file,
 ``first_token`` is the block's offset in its file, ``doc_ids`` (int64) and ``ends``
-(int64, token offsets in the block) describe its documents, and ``payload`` holds the
-ids, ``width`` bits each, least significant bit first. ``width`` is the smallest number
+(int64, token offsets in the block) describe its documents, the last ``n_nameless`` of
+which have no id, and ``payload`` holds the ids, ``width`` bits each, least significant bit first. ``width`` is the smallest number
 of bits that the vocabulary needs. Block offsets make any span of tokens readable
 without the blocks before it, and the Parquet statistics skip the other blocks.
 """
@@ -12,7 +12,6 @@ without the blocks before it, and the Parquet statistics skip the other blocks.
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import blocks, shared_dir, ship, text_or_empty
+from keystrata.llm.shared import blocks, new_path, ship, text_or_empty
 
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 18
 #: Distinct chunks that a worker remembers; memory only, results are the same.
 REMEMBERED = 1_100_000
 
-FILE_SCHEMA = "part int, block int, first_token long, n_docs int, n_tokens long, width int, doc_ids binary, ends binary, payload binary"
+FILE_SCHEMA = "part int, block int, first_token long, n_docs int, n_nameless int, n_tokens long, width int, doc_ids binary, ends binary, payload binary"
 
 _encoders: dict[str, Encoder] = {}
 
@@ -140,8 +139,9 @@ def encoder(path: str) -> Encoder:
 def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every text, add ``end_id`` and write the packed files to ``path``.
 
-    Null texts count as empty; rows that repeat a ``doc_id`` stay, next to each other;
-    an empty table writes an empty data set; other columns are ignored.
+    Null texts count as empty; texts are encoded whole, however long; rows that repeat a ``doc_id`` stay, next to
+    each other and by a hash of their texts; rows without an id come last, by that hash; an empty table writes an
+    empty data set; other columns are ignored. Ranges are cut by a row's number too, so that no id fills one.
     """
     ship(docs.sparkSession)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -157,8 +157,11 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
         def close() -> pa.RecordBatch:
             ends = np.cumsum([len(x) // 4 for x in ids], dtype="<i8")
-            row = {"part": part, "block": block, "first_token": first, "n_docs": len(ids), "n_tokens": int(ends[-1]), "width": width, "doc_ids": np.array(docs_in, "<i8").tobytes(), "ends": ends.tobytes(), "payload": pack(np.frombuffer(b"".join(ids), "<u4"), width)}
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            nameless = docs_in.count(None)
+            named = np.array([0 if d is None else d for d in docs_in], "<i8").tobytes()
+            row = {"part": part, "block": block, "first_token": first, "n_docs": len(ids), "n_nameless": nameless, "n_tokens": int(ends[-1])}
+            row |= {"width": width, "doc_ids": named, "ends": ends.tobytes(), "payload": pack(np.frombuffer(b"".join(ids), "<u4"), width)}
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
 
         for b in blocks(batches, "_text", 4 << 20):
@@ -174,8 +177,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         if ids:
             yield close()
 
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
-    ordered = narrow.repartitionByRange("_id").sortWithinPartitions("_id")
+    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text"))
+    keyed = narrow.withColumns({"_h": F.xxhash64("_text"), "_no": F.monotonically_increasing_id()})
+    order = [F.col("_id").asc_nulls_last(), F.col("_h"), F.col("_no")]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "_text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "uncompressed").parquet(path)
     return path
 
@@ -199,9 +204,11 @@ def packed_documents(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.frombuffer(r["ends"], "<i8")
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["doc_ids"], "<i8")), pa.array(starts + r["start"]), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                named = pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=np.arange(len(ends)) >= len(ends) - r["n_nameless"])
+                columns = [named, pa.array(starts + r["start"]), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    blocks_ = read_packed(spark, path).select("start", "n_tokens", "width", "doc_ids", "ends", "payload")
+    blocks_ = read_packed(spark, path).select("start", "n_tokens", "n_nameless", "width", "doc_ids", "ends", "payload")
     return blocks_.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -218,4 +225,4 @@ def read_span(spark: SparkSession, path: str, start: int, count: int) -> np.ndar
 def packed_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write ``docs`` to files in the shared folder and describe what they hold."""
     spark = docs.sparkSession
-    return packed_documents(spark, write_packed(docs, f"{shared_dir(spark)}/keystrata/{uuid.uuid4().hex}/packed", tokenizer, end_id))
+    return packed_documents(spark, write_packed(docs, new_path(spark, "packed"), tokenizer, end_id))
