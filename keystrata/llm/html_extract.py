@@ -2,8 +2,8 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, with
 weights learned from pages whose main region is marked (``article`` or ``main``); a
-linear scan finds the contiguous run with the greatest sum. The run is widened to the
-marked element it lies in, if there is one, and the text blocks inside it that
+linear scan finds the contiguous run with the greatest sum. The marks only label pages
+to learn from: the run, widened to whole blocks, is the region, and the text blocks inside it that
 don't belong to menus, forms, adverts, comments and the like are the result.
 """
 
@@ -24,7 +24,10 @@ from keystrata.llm.shared import blocks, ship
 #: Pages that the weights are learned from, at most.
 LABELLED_PAGES = 2_000
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[/!?][^>]*>|[^<]+|<""", re.S)
+# No part of these can be given back once it has matched, so each takes one pass over what it matches.
+_OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]?))*+)>""")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_TEXT = re.compile(r"<?[^<]*+")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -32,17 +35,29 @@ _NAME = re.compile(r"[a-z]+")
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+INLINE = frozenset("a abbr audio b bdi bdo button canvas cite code data del dfn em font i ins kbd label map mark meter object output picture progress q ruby s samp select slot small span strong sub sup svg time u var video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKED = frozenset("article main".split())
 EXCLUDED = frozenset("head nav footer aside form button select input textarea script style noscript template svg canvas iframe object dialog menu label fieldset title".split())
-# Words in class, id or role that name what isn't main text.
+# Words in class, id or role that name what isn't main text, chosen by hand.
 EXCLUDED_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adbox adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar toolbar footer comment comments reply replies respond disqus share sharing social related recommended pagination pager search complementary contentinfo".split())
-CONTENT_NAMES = frozenset("article content main post entry story body text".split())
+#: Elements that weights are learned for; all others share one kind.
+KNOWN = RAW | VOID | BLOCK | INLINE
 
 #: Weights before anything is learned: a word, a word in a link, a tag.
 DEFAULT = {"w:": 0.5, "w:a": -1.0, "t:": -1.0}
 
 
+_closing: dict[str, re.Pattern] = {}
+
+
+def _close(tag: str) -> re.Pattern:
+    """The end tag of a raw element."""
+    if tag not in _closing:
+        _closing[tag] = re.compile(rf"</{tag}\s*+>", re.I)
+    return _closing[tag]
+
+
 def _excluded(tag: str, attrs: str, in_marked: bool) -> bool:
     if tag in EXCLUDED or (tag == "header" and not in_marked):
         return True
@@ -64,60 +79,76 @@ class Page:
     """A page's items in order: ``(kind, type, value, n_words, excluded, marked)``.
 
     kind is ``w`` for text and ``t`` for a tag; type is what the weights are keyed by;
-    marked is the number of the outermost ``article`` or ``main`` around it, or -1.
+    marked tells whether it lies in an ``article`` or ``main``. One pass: each character is
+    looked at a bounded number of times, however broken the page is. Quotes count after
+    ``=`` only; from the first tag on that doesn't end outside its quotes, tags end at the next ``>``.
     """
 
     def __init__(self, source: str) -> None:
-        self.items: list[tuple[str, str, str, int, bool, int]] = []
-        stack: list[tuple[str, bool, int]] = []
-        skipping, marked, regions, block, links = 0, -1, 0, "body", 0
-        at, n, find = 0, len(source), _TOKEN.match
+        self.items: list[tuple[str, str, str, int, bool, bool]] = []
+        stack: list[list] = []  # name, excluded, opens the mark, is a link, the block around it
+        opened: Counter[str] = Counter()
+        skipping, marked, block, link = 0, False, "body", None
+        at, n, last, pattern = 0, len(source), source.rfind(">"), _OPEN
         add = self.items.append
         while at < n:
-            m = find(source, at)
-            at = m.end()
-            tag = m["tag"]
-            if tag is None:
-                piece = m[0]
-                if piece[0] == "<" and len(piece) > 1:
-                    continue  # comment or declaration
-                words = len(piece.split())
-                add(("w", "w:a" if links else f"w:{'skip' if skipping else block}", piece, words, skipping > 0, marked))
+            m = None
+            if source[at] == "<" and at < last:
+                if source.startswith("<!--", at):
+                    end = source.find("-->", at + 4)
+                    at = end + 3 if end >= 0 else n
+                    continue
+                m = pattern.match(source, at)
+                if m is None and pattern is _OPEN and (m := _PLAIN.match(source, at)):
+                    pattern = _PLAIN
+                if m is None and source[at + 1] in "/!?":
+                    at = source.find(">", at) + 1
+                    continue
+            elif source.startswith("<!--", at):
+                break
+            if m is None:
+                m = _TEXT.match(source, at)
+                at = m.end()
+                words = len(m[0].split())
+                add(("w", "w:a" if link else f"w:{'skip' if skipping else block}", m[0], words, skipping > 0, marked))
                 continue
-            tag = tag.lower()
-            if m["end"]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if depth >= 0:
-                    for name, out, region in stack[depth:]:
-                        skipping -= out
-                        links -= name == "a"
-                        if region >= 0:
-                            marked = -1
-                    del stack[depth:]
-                    block = next((s[0] for s in reversed(stack) if s[0] in BLOCK), "body")
-                add(("t", f"t:{tag}", tag, 0, skipping > 0, marked))
+            at = m.end()
+            tag, attrs = m[2].lower(), m[3]
+            kind = f"t:{tag if tag in KNOWN else '-'}"
+            if m[1]:
+                while opened[tag]:
+                    name, out, mark, is_link, around = stack.pop()
+                    opened[name] -= 1
+                    skipping -= out
+                    if mark:
+                        marked = False
+                    if is_link:
+                        link = None
+                    block = around
+                    if name == tag:
+                        break
+                add(("t", kind, tag, 0, skipping > 0, marked))
                 continue
-            attrs = m["attrs"]
             if tag in RAW and not attrs.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+                close = _close(tag).search(source, at)
                 at = close.end() if close else n
-                add(("t", f"t:{tag}", tag, 0, True, marked))
+                add(("t", kind, tag, 0, True, marked))
                 continue
-            if tag == "a" and links:
-                links = 0
-                stack = [s for s in stack if s[0] != "a"]
-            out = tag not in VOID and _excluded(tag, attrs, marked >= 0)
-            opened = -1
-            if tag in MARKED and marked < 0 and not out and not skipping:
-                marked = opened = regions
-                regions += 1
+            if tag == "a" and link:  # a link ends where the next one begins
+                opened["a"] -= 1
+                link[0], link[3], link = "", False, None
+                opened[""] += 1
+            out = tag not in VOID and _excluded(tag, attrs, marked)
             if tag not in VOID and not attrs.endswith("/"):
-                stack.append((tag, out, opened))
+                mark = tag in MARKED and not marked and not out and not skipping
+                stack.append([tag, out, mark, tag == "a", block])
+                opened[tag] += 1
                 skipping += out
-                links += tag == "a"
+                marked = marked or mark
+                link = stack[-1] if tag == "a" else link
                 if tag in BLOCK:
                     block = tag
-            add(("t", f"t:{tag}", tag, 0, skipping > 0, marked))
+            add(("t", kind, tag, 0, skipping > 0, marked))
 
     def best_run(self, weights: dict[str, float]) -> tuple[int, int]:
         """The contiguous run of items with the greatest score, as (first, end); (0, 0) if none is positive."""
@@ -135,15 +166,8 @@ class Page:
         return span
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:
+        """The best run, widened to whole blocks and a heading just before them."""
         first, end = self.best_run(weights)
-        inside: Counter[int] = Counter()
-        for kind, _, _, words, out, marked in self.items[first:end]:
-            if kind == "w" and not out:
-                inside[marked] += words
-        held = inside.most_common(1)[0][0] if inside else -1
-        if held >= 0:
-            places = [i for i, x in enumerate(self.items) if x[5] == held]
-            return places[0], places[-1] + 1
         while first > 0 and not (self.items[first - 1][0] == "t" and self.items[first - 1][2] in BLOCK):
             first -= 1
         at = first  # a heading just before the run opens it
@@ -196,12 +220,14 @@ def learn_weights(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
         inside, outside = Counter(), Counter()
         for b in blocks(batches, "_html"):
             for x in b.column(0).to_pylist():
-                for kind, name, _, words, out, marked in Page(x).items:
-                    (inside if marked >= 0 and not out else outside)[name] += words if kind == "w" else 1
+                for kind, name, _, words, out, marked in Page(x or "").items:
+                    (inside if marked and not out else outside)[name] += words if kind == "w" else 1
         names = list(inside.keys() | outside.keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[k] for k in names], pa.int64()), pa.array([outside[k] for k in names], pa.int64())], ["kind", "inside", "outside"])
 
-    rows = sample.mapInArrow(run, "kind string, inside long, outside long").where(F.length("kind") <= 20).groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(500).collect()
+    rows = sample.mapInArrow(run, "kind string, inside long, outside long")
+    sums = rows.groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = sorted(sums.collect())  # at most two rows for each of KNOWN and a few more
     weights = dict(DEFAULT)
     n_in, n_out = sum(r["inside"] for r in rows) + 1, sum(r["outside"] for r in rows) + 1
     for r in rows:
@@ -215,7 +241,8 @@ def main_text(pages: DataFrame, weights: dict[str, float] | None = None, html_co
     """``pages`` with the main text of each whole page in place of its HTML.
 
     Null and empty HTML, and pages without words, give an empty text; unclosed elements
-    and comments reach to the end of what holds them; every row stays.
+    and comments reach to the end of what holds them; of runs with equal scores the first counts; every row stays,
+    repeated ones too, and pages of any length are read whole, in one pass; an empty table gives no rows. A column of the name of the result is replaced.
     """
     ship(pages.sparkSession)
     learned = weights or learn_weights(pages, html_col)
