@@ -43,7 +43,7 @@ def features(text: str) -> set[str]:
     """A text's words in lower case, and the beginnings of 4 to 7 letters that one, two or three of its different words share."""
     words = set(_WORD.findall(text.lower()))
     shared = Counter(w[:n] for w in words for n in PREFIXES if len(w) > n)
-    out = {w[:40] for w in words}
+    out = set(words)
     for stem, n in shared.items():
         out.update(f"{stem}*{k}" for k in range(1, min(n, MOST_SHARED) + 1))
     return out
@@ -90,7 +90,6 @@ class Model:
     def score(self, text: str) -> float:
         words = set(_WORD.findall(text.lower()))
         z = self.bias + sum(self.words[w] for w in words & self.words.keys())
-        z += sum(self.words.get(w[:40], 0.0) for w in words if len(w) > 40)
         for n in self.lengths:
             shared = Counter(p for p in (w[:n] for w in words if len(w) > n) if p in self.stems)
             z += sum(weight for p, k in shared.items() for least, weight in self.stems[p] if k >= least)
@@ -138,24 +137,13 @@ def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], n_features: int, prio
     return w[:-1], float(w[-1])
 
 
-def boundary(evidence: np.ndarray, prior: float) -> float:
-    """Sum of weights from which unlabelled texts count as toxic: their share is the prior.
-
-    If fewer show evidence than the prior says (labels can be wrong), the boundary lies halfway to the least evidence.
-    """
-    z = np.sort(evidence)[::-1]
-    least = z[z > 0.5].min(initial=np.inf)
-    if not np.isfinite(least):
-        return 1.0
-    k = min(len(z) - 1, max(1, round(prior * len(z))))
-    return float(max((z[k - 1] + z[k]) / 2, least / 2))
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on a bounded sample: the ``POSITIVES`` toxic and ``UNLABELLED`` unlabelled rows with the smallest id hashes.
 
     Labels of rows in ``held_out`` are never read. Null labels and labels without a
-    document are ignored; without positives or unlabelled rows the score is the prior.
+    document are ignored, and of a repeated or conflicting label a toxic one counts; of a repeated id one text is in the
+    sample (the one with the smallest hash); without positives or unlabelled rows the score is the prior. Weights and bias are
+    the means of the classifiers that minimise the risk.
     """
     ship(docs.sparkSession)
     known = labels.where(~held_out("doc_id") & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic"))
@@ -166,7 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = toxic.join(ids, "_id", "left_semi").orderBy(*order).limit(POSITIVES)
     u = ids.distinct().orderBy(F.xxhash64("_id", F.lit(1)), F.col("_id")).limit(UNLABELLED)  # labels aren't looked at: toxic texts are among them at the prior's rate
     chosen = p.withColumn("_p", F.lit(1)).unionByName(u.withColumn("_p", F.lit(0)))
-    sample = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_p", "_text")  # at most POSITIVES + UNLABELLED rows
+    found = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most POSITIVES + UNLABELLED ids
+    # One text for each id, however often it is repeated, so the bound holds for rows too.
+    first = found.groupBy("_p", "_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("m"))
+    sample = first.select("_p", F.col("m._text").alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
@@ -207,13 +198,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos, unl = ([n[n >= 0] for n in (new[r] for r in rows)] for rows in (pos, unl))
     vocabulary = {f: int(new[i]) for f, i in vocabulary.items() if new[i] >= 0}
     fitted = [fit_nnpu(pos, unl, len(vocabulary), prior, seed=k) for k in range(CLASSIFIERS)]
-    mean = np.mean([w for w, _ in fitted], axis=0)
-    return Model({f: float(mean[i]) for f, i in vocabulary.items()}, -boundary(np.array([mean[r].sum() for r in unl]), prior), prior)
+    mean, bias = np.mean([w for w, _ in fitted], axis=0), float(np.mean([b for _, b in fitted]))
+    return Model({f: float(mean[i]) for f, i in vocabulary.items()}, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score in 0 to 1 for each whole text; null texts count as empty. Every row stays."""
+    """``docs`` with a score in 0 to 1 for each whole text, however long; null texts count as empty. Every row stays.
+
+    A column called ``name`` is replaced.
+    """
     ship(docs.sparkSession)
+    docs = docs.drop(name)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +221,18 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row, also null, empty and repeated ones."""
+    """``doc_id, held_out, score, predicted`` for every row, also null, empty, nameless and repeated ones.
+
+    Equal texts get equal scores. An empty table gives no rows; other columns are ignored.
+    """
     model = train(docs, labels)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose score is 0.5 or more."""
-    return score(docs, train(docs, labels), name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    """``docs`` without the rows whose score is 0.5 or more; all columns stay as they are."""
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, train(docs, labels), name=name).where(F.col(name) < 0.5).select(*docs.columns)
