@@ -64,4 +64,6 @@ d as (select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(lis
 select query_id, rank, vec_id, score from (select *, (row_number() over (partition by query_id order by score, vec_id))::int as rank from d) where rank <= 10
 """,
     "op7_mixing": mixing.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }

@@ -114,8 +114,8 @@ def counter(path: str) -> PieceCounter | VocabularyCounter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row.
 
-    A null text counts as empty (0 tokens), repeated rows are counted again, an empty
-    table gives no rows, other columns are ignored.
+    A null text counts as empty (0 tokens), whole texts are counted, however long, repeated rows and
+    rows without an id are counted like all others, an empty table gives no rows, other columns are ignored.
     """
     ship(docs.sparkSession)
 

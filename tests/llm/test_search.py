@@ -1,5 +1,8 @@
+import hashlib
 import itertools
 import math
+import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -85,6 +88,36 @@ def test_shard_files(spark, sf, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
 
 
+def test_shards_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    n, bits = len(rows), 5
+    size = [len((r.text or "").encode()) + 1 for r in rows]
+
+    def value_bins(values):
+        order = sorted(values, key=lambda v: (v is not None, v or ""))
+        return [min(31, 32 * order.index(v) // n) for v in values]
+
+    cuts = {sorted(size)[math.ceil(k / 32 * n) - 1] for k in range(1, 32)}
+    cells = np.array([value_bins([r.source for r in rows]), value_bins([r.lang for r in rows]), [sum(c < x for c in cuts) for x in size]]).T
+    curve = hilbert.hilbert_index(cells, bits).tolist()
+    crc = [zlib.crc32((r.text or "").encode()) for r in rows]
+    order = sorted(range(n), key=lambda i: (curve[i], rows[i].doc_id, crc[i], size[i]))
+    shard = [at * 8 // n for at in range(n)]
+    want = {(rows[i].doc_id, size[i], crc[i], curve[i], shard[at], at - shard.index(shard[at])) for at, i in enumerate(order)}
+    got = hilbert.hilbert_shards(docs).select("doc_id", "size", "text_crc32", "hilbert", "shard", "slot").collect()
+    assert len(got) == n and {tuple(r) for r in got} == want
+
+
+def test_written_shards_keep_repeated_rows(spark, odd_docs, tmp_path):
+    twice = odd_docs.unionByName(odd_docs)
+    hilbert.write_shards(twice, str(tmp_path / "shards"), 3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == 16 and Counter(r.n for r in back.groupBy("shard").agg({"*": "count"}).toDF("shard", "n").collect()) == {5: 2, 6: 1}
+    plain = [c for c in back.columns if c != "shard"]
+    assert back.select(plain).exceptAll(twice.select(plain)).count() == 0
+
+
 def test_positions(spark):
     df = spark.createDataFrame([(i * 7 % 100, i % 4) for i in range(100)], "k long, n long").repartition(5)
     rows = ordered_positions(df, ["k"], "n", "t").orderBy("position").collect()
@@ -143,10 +176,55 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
 
 
+def brute_mix(rows, weights=(3, 1, 2), share=1.5, copies=2):
+    """(row number, size, source's size, target, taken) by a sort of all copies."""
+    n = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    size = Counter()
+    for (_, _, s), k in zip(rows, n, strict=True):
+        size[s] += k
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = fill({s: size[s] for s in names}, share * sum(n), {s: weights[i % len(weights)] for i, s in enumerate(names)}, copies)
+    place = lambda d, t: hashlib.md5(f"mix:{':' + hashlib.md5((t or '').encode()).hexdigest() if d is None else d}".encode()).hexdigest()
+    order, run, out = [], Counter(), [0] * len(rows)
+    for i in sorted(range(len(rows)), key=lambda i: (place(*rows[i][:2]), rows[i][0] is not None, rows[i][0] or 0, n[i])):
+        run[rows[i][2]] += n[i]
+        for c in range(copies):
+            if goal[rows[i][2]] > 0:
+                finish = (c * size[rows[i][2]] + run[rows[i][2]]) / goal[rows[i][2]]
+                order.append((finish, place(*rows[i][:2]), rows[i][0] or 0, c, n[i], len(order), i))
+    used = 0
+    for *_, i in sorted(order):
+        used += n[i]
+        if used <= int(share * sum(n)):
+            out[i] += n[i]
+    return [(d, k, size[s], goal[s], x) for (d, _, s), k, x in zip(rows, n, out, strict=True)]
+
+
+def test_repeated_and_nameless_rows_are_documents_of_their_own(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rows = [(int(rng.integers(0, 9)) if k % 4 else None, " ".join(["w"] * int(rng.integers(0, 4))) + "x" * (k % 3), "abc"[k % 3] if k % 7 else None) for k in range(120)]
+    rows += [(1, "one two three four", "a")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _cuts", "2 as _n", "3 as u", "4 as cuts", "5 as row", "6 as size")
+    got, want = mixing.mix(docs).collect(), brute_mix(rows)
+    flat = lambda rs: sorted(((d or -1, n, s, round(g, 6), t) for d, n, s, g, t in rs))
+    assert flat(map(tuple, got)) == flat(want) and len(got) == len(rows)
+    assert all(r.taken <= 2 * r["size"] for r in got) and any(0 < r.taken < 2 * r["size"] for r in got)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    count = lambda rs: Counter({k: v for k, v in rs.items() if v})
+    words, taken = Counter(), Counter()
+    for r in mixed.collect():
+        words[r.doc_id, r.source] += len(r.text.split())
+    for (d, _, s), (*_, t) in zip(rows, want, strict=True):
+        taken[d, s] += t
+    assert count(words) == count(taken)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
     got = queries.QUERIES[name](spark, small)
     want = con.sql(queries.ORACLES[name])

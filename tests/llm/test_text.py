@@ -1,11 +1,13 @@
 import html as h
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keystrata.llm import decontaminate, html_extract, line_dedup, near_dup, toxicity, wordhash
 from keystrata.llm.components import connected_components
@@ -43,6 +45,28 @@ def test_risk_is_minimised_from_positives_and_unlabelled():
     assert np.mean([z(x) > 0 for x in toxic]) > 0.98 and np.mean([z(x) > 0 for x in clean]) < 0.02
 
 
+def test_risk_equals_the_least_of_a_grid():
+    """One feature: the non-negative risk of all weights and biases on a grid is no smaller than the fitted one's."""
+    prior, pos, unl = 0.3, [1] * 8 + [0] * 2, [1] * 12 + [0] * 28
+    loss = lambda z: np.logaddexp(0, -z)
+
+    def risk(w, b):
+        zp, zu = np.array(pos) * w + b, np.array(unl) * w + b
+        return prior * loss(zp).mean() + max(0.0, loss(-zu).mean() - prior * loss(-zp).mean())
+
+    rows = lambda xs: [np.zeros(x, np.int64) for x in xs]
+    w, b = toxicity.fit_nnpu(rows(pos), rows(unl), 1, prior, steps=3_000, decay=0.0, rate=0.01)
+    least = min(risk(x, y) for x in np.linspace(-6, 6, 121) for y in np.linspace(-6, 6, 121))
+    assert risk(w[0], b) <= least + 0.005
+
+
+def test_words_of_any_length_are_told_apart():
+    a, b = "x" * 60 + "a", "x" * 60 + "b"
+    assert a in toxicity.features(a) and a not in toxicity.features(b)
+    model = toxicity.Model({a: 2.0}, -1.0, 0.1)
+    assert model.score(f"{a} {b}") > 0.5 > model.score(b)
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (99, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0)):
@@ -51,6 +75,9 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).collect() == []
     assert toxicity.drop_toxic(odd_docs, labels.limit(0)).count() == 8
     assert toxicity.drop_toxic(odd_docs, labels.limit(0)).columns == odd_docs.columns
+    clash = odd_docs.withColumn("_toxicity", F.lit(3))
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+    assert toxicity.score(odd_docs, toxicity.Model({}, 0.0, 0.5)).select("score").distinct().collect()[0].score == 0.5
 
 
 # --- pages
@@ -71,6 +98,47 @@ def test_pages_of_the_table(spark, small):
         assert r.text == article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
+def test_marks_are_only_labels(spark, small):
+    """Weights learned from some pages give the same text on others whose mark has another name."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    weights = html_extract.learn_weights(pages.where("page_id % 2 = 0"))
+    for r in pages.where("page_id % 2 = 1").collect():
+        renamed = re.sub(r"(</?)article\b", r"\1div", r.html)
+        assert html_extract.Page(renamed).text(weights) == article(r.html), r.page_id
+
+
+def test_the_run_has_the_greatest_sum(spark, small):
+    rng = np.random.default_rng(12)
+    for r in spark.read.parquet(f"{small}/pages.parquet").limit(12).collect():
+        page = html_extract.Page(r.html)
+        page.items = page.items[:60]
+        weights = html_extract.DEFAULT | {x[1]: float(rng.integers(-8, 9)) / 8 for x in page.items}
+        value = lambda x: (x[3] * (-abs(weights["w:"]) if x[4] else weights[x[1]])) if x[0] == "w" else weights[x[1]]  # noqa: E731, B023
+        sums = [0.0, *itertools.accumulate(map(value, page.items))]
+        first, end = page.best_run(weights)
+        best = max(b - a for a, b in itertools.combinations(sums, 2))
+        assert abs(sums[end] - sums[first] - max(best, 0)) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ['<a href="x ', "<a href=x ", "<span></b>", '<a b=">" ', "<!", "<a>", '<a href="x>', "<div><a>", "<p class='", "</", "<script", "<i></div>"])
+def test_broken_pages_take_one_pass(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_extract.Page(page).text(html_extract.DEFAULT)
+    assert time.process_time() - began < 5
+
+
+def test_unclosed_quotes_end_with_the_tag():
+    page = html_extract.Page('<p title="x>one two</p><p>three <b c=d>four</b> five</p>')
+    assert page.text(html_extract.DEFAULT | {"t:": -0.1}) == "one two\nthree four five"
+
+
+def test_kinds_of_any_name_count(spark):
+    page = f"<{'x' * 30}>menu</{'x' * 30}><article><p>one two three</p></article>"
+    weights = html_extract.learn_weights(spark.createDataFrame([(page,)], "html string"))
+    assert weights["t:-"] < 0 < weights["w:p"]
+
+
 BODY = "".join(f"<p>{' '.join(LOREM[i:] + LOREM[:i])} &amp;amp; caf&eacute;&nbsp;x</p>" for i in range(6))
 
 
@@ -113,7 +181,8 @@ def brute_leaks(docs, items):
         a, b = words(x), words(y)
         for diagonal in range(-len(b), len(a)):
             e = [int(0 <= j + diagonal < len(a) and a[j + diagonal] == b[j]) for j in range(len(b))]
-            if any(sum(e[s : s + 13]) >= 11 for s in range(len(b) - 12)):
+            n = min(13, len(b))
+            if len(b) >= 5 and any(sum(e[s : s + n]) >= (11 if len(b) >= 13 else n) for s in range(len(b) - n + 1)):
                 out.add((d, i))
     return out
 
@@ -124,8 +193,8 @@ def test_leaks_equal_brute_force(spark, monkeypatch, few):
         monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     rng = np.random.default_rng(5)
     text = lambda n: [LOREM[i] for i in rng.integers(0, len(LOREM), n)]
-    items = [(i, text(int(rng.integers(8, 40)))) for i in range(12)]
-    docs = []
+    items = [(i, text(int(rng.integers(3, 40)))) for i in range(12)] + [(20 + n, text(n)) for n in (4, 5, 7, 8, 12, 13)]
+    docs = [(200 + i, " ".join(["before", *y, "after"][i % 2 :])) for i, y in items]
     for d in range(60):
         x = text(int(rng.integers(0, 60)))
         if d % 3:
@@ -140,6 +209,25 @@ def test_leaks_equal_brute_force(spark, monkeypatch, few):
     got = decontaminate.leaks(spark.createDataFrame([*docs, docs[1], (None, docs[1][1]), (99, None), (98, "")], "doc_id long, text string"), spark.createDataFrame([*items, items[0], (77, None), (78, ""), (None, "x")], "item_id long, text string"))
     rows = [(r.doc_id, r.item_id) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute_leaks(docs, items) and len(rows) > 20
+    assert {(225, 25), (227, 27), (232, 32), (233, 33)} <= set(rows) and not any(i == 24 for _, i in rows)
+
+
+def test_leaks_of_odd_rows(spark, odd_docs, no_docs):
+    """Rows without an id, repeated ids with other texts, long texts, clashing columns, empty tables, every short item."""
+    words = [f"w{i}" for i in range(3_000)]
+    item, short = " ".join(words[1_000:1_014]), "alpha beta gamma"
+    rows = [(None, item), (1, item), (1, "clean text of some words"), (2, " ".join(words)), (3, None), (4, ""), (5, short), (None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h1", "2 as item_id", "'x' as row", "3 as _at", "4 as _item")
+    items = spark.createDataFrame([(7, item), (8, short), (9, None), (9, ""), (None, item)], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as _hash")
+    found = {(r.doc_id, r.item_id): (r.position, r.matched, r.window_matched) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 7): (0, 14, 13), (2, 7): (1_000, 14, 13)}
+    kept = decontaminate.clean_documents(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "clean"), (1, rows[2][1]), (3, ""), (4, ""), (5, short)]
+    assert sorted(r.doc_id or 0 for r in decontaminate.clean_documents(docs, items, shortest=1).collect()) == [0, 1, 3, 4]
+    assert {r.doc_id for r in decontaminate.leaks(odd_docs, items, shortest=1).collect()} == {1, 5}
+    for a, b in ((no_docs, items), (docs, items.limit(0))):
+        assert decontaminate.leaks(a, b).collect() == [] and decontaminate.clean_documents(a, b).count() == a.count()
 
 
 def test_leaks_on_the_table(spark, sf):
@@ -365,7 +453,7 @@ def brute_lines(docs, near):
     places = sorted((d, n, x) for d, t in docs if t is not None for n, x in enumerate(t.split("\n")))
     gone = set()
     for d, n, x in places:
-        if not x.strip(" "):
+        if not x.strip(" \t\r\x0b\x0c"):
             continue
         if any(x == y or (len(x) >= near and len(y) >= near and one_edit(x, y)) for y in seen):
             gone.add((d, n))
@@ -388,6 +476,7 @@ def test_lines_equal_brute_force(spark):
                 x = x[:at] + (c if kind else "") + x[at + (kind != 1) :]
             lines.append(x)
         docs.append((d, "\n".join(lines)))
+    docs += [(400 + k, x) for k, x in enumerate(["a", "b", "ab", "ba", "\t", "x" * 19, "x" * 18 + "y", "x" * 20, "x" * 21, "\t\r\n \n\t", "q\r", "q"])]
     docs += [(500, None), (501, ""), (502, "\n\n"), (503, " \n" + base[0]), (504, "same line that is long enough\n" * 3)]
     got = line_dedup.dedup_lines(spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, line string, n int"))
     want = brute_lines(docs, line_dedup.NEAR)
@@ -397,6 +486,28 @@ def test_lines_equal_brute_force(spark):
     assert sum(r.n_dropped for r in rows) > 100
 
 
+def test_lines_of_texts_under_one_id(spark):
+    """The line of one text must not be taken for that of another at the same place."""
+    rows = [(1, "first line of one text\nshared by two"), (1, "other line of the same id\nfirst line of one texts"), (1, "first line of one text\nshared by two"), (2, "other line of the samE id\nnew"), (None, "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as _lines", "9 as n_lines", "8 as kept", "7 as version", "6 as row")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_lines", "kept", "version", "row", "n_lines", "n_dropped"]
+    found = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in got.collect())
+    assert found[0] == (0, "new", 0) and found[-1] == (2, "new", 1) and {r._lines for r in got.collect()} == {"x"}
+    # Of the two texts the one with the smaller hash comes first, so the other's near line goes.
+    texts = {x for i, x, _ in found if i == 1}
+    assert texts in ({rows[0][1], "other line of the same id"}, {"shared by two", rows[1][1]})
+
+
+def test_equal_lines_only(spark):
+    docs = spark.createDataFrame([(1, "one line\none lime\none line")], "doc_id long, text string")
+    assert [r.text for r in line_dedup.dedup_lines(docs, edits=0).collect()] == ["one line\none lime"]
+    assert [r.text for r in line_dedup.dedup_lines(docs, near=9).collect()] == ["one line\none lime"]
+    assert [r.text for r in line_dedup.dedup_lines(docs).collect()] == ["one line"]
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(docs, edits=2)
+
+
 def test_lines_of_odd_rows(odd_docs, no_docs):
     rows = line_dedup.dedup_lines(odd_docs).collect()
     assert sorted((r.doc_id or 0, r.text is None, r.n_dropped) for r in rows) == [(0, False, 0), (1, False, 0), (2, True, 0), (3, False, 0), (4, False, 0), (5, False, 1), (5, False, 1), (6, False, 0)]

@@ -95,6 +95,9 @@ def test_files_hold_the_ids(spark, sf, tmp_path):
 
 def test_packed_odd_rows(odd_docs, no_docs):
     rows = bitpack.packed_digest(odd_docs, VOCABULARY).orderBy("start").collect()
-    assert [r.doc_id for r in rows] == [1, 2, 3, 4, 5, 5, 6]
+    assert [r.doc_id for r in rows] == [1, 2, 3, 4, 5, 5, 6, None]
+    ids = [[*x, 2] for x in direct_ids([r.text or "" for r in sorted(odd_docs.collect(), key=lambda r: r.doc_id or 99)])]
+    assert [r.ids_crc32 for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    assert [r.start for r in rows] == [0, *np.cumsum([len(x) for x in ids])[:-1]]
     assert [r.n_tokens for r in rows][1:3] == [1, 1]
     assert bitpack.packed_digest(no_docs, VOCABULARY).collect() == []
