@@ -124,20 +124,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:  # noqa: ANN003
     """
     seed, id_col, text_col, source_col = (options.get(*x) for x in (("seed", SEED), ("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
     # Nulls come first, as in the order of the plan.
-    here = lambda: F.struct("u", F.col("doc_id").isNotNull().alias("named"), "doc_id", "size")
-    points = plan(docs, **options).where("taken").groupBy("source", "copy").agg(F.max(F.struct(here().alias("at"), "nth", "of")).alias("last"))
+    here = lambda: F.struct("u", F.col("doc_id").isNotNull().alias("named"), "doc_id")
+    points = plan(docs, **options).where("taken").groupBy("source", "copy").agg(F.max(F.struct(here().alias("at"), "size", "nth", "of")).alias("last"))
     cuts = materialize(points.groupBy("source").agg(F.array_agg("last").alias("cuts")), "cuts")
-    row = packed(docs, u=_place(seed, id_col, text_col), doc_id=F.col(id_col), size=words(F.col(text_col)), origin=F.col(source_col))
-    chosen = row.withColumn("at", here()).join(cuts, F.col("origin").eqNullSafe(F.col("source")))
-    whole = F.size(F.filter("cuts", lambda c: (F.col("at") < c["at"]) | ((F.col("at") == c["at"]) & (c["nth"] == c["of"]))))
-    part = F.filter("cuts", lambda c: (F.col("at") == c["at"]) & (c["nth"] < c["of"]))
-    chosen = chosen.select("row", "at", "origin", whole.alias("n"), part.alias("part"))
-    plain = chosen.where(F.size("part") == 0).select("row", "n")
-    divided = chosen.where(F.size("part") > 0).withColumn("text", F.col(f"row.`{text_col}`"))
-    divided = divided.selectExpr("*", "row_number() over (partition by origin, at order by xxhash64(text), text) as nth")
-    divided = divided.select("row", (F.col("n") + F.size(F.filter("part", lambda c: F.col("nth") <= c["nth"]))).alias("n"))
-    taken = plain.unionByName(divided).where("n > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
+    row = packed(docs, u=_place(seed, id_col, text_col), doc_id=F.col(id_col), origin=F.col(source_col))
+    chosen = row.withColumn("at", here()).join(cuts, F.col("origin").eqNullSafe(F.col("source"))).select("row", "at", "origin", "cuts")
+    # Words are counted only where a point's id is a row's own.
+    size = words(F.col(f"row.`{text_col}`"))
+    whole = lambda c: (F.col("at") < c["at"]) | ((F.col("at") == c["at"]) & ((size < c["size"]) | ((size == c["size"]) & (c["nth"] == c["of"]))))
+    part = lambda c: (c["nth"] < c["of"]) & (F.col("at") == c["at"]) & (size == c["size"])
+    plain = chosen.withColumn("n", F.size(F.filter("cuts", whole)))
+    taken = plain.select("row", "n")
+    if not cuts.where(F.exists("cuts", lambda c: c["nth"] < c["of"])).isEmpty():
+        divided = plain.where(F.exists("cuts", part)).select("*", size.alias("size"), F.col(f"row.`{text_col}`").alias("text"))
+        divided = divided.selectExpr("*", "row_number() over (partition by origin, at, size order by xxhash64(text), text) as nth")
+        more = F.size(F.filter("cuts", lambda c: (c["nth"] < c["of"]) & (F.col("at") == c["at"]) & (F.col("size") == c["size"]) & (F.col("nth") <= c["nth"])))
+        taken = plain.where(~F.exists("cuts", part)).select("row", "n").unionByName(divided.select("row", (F.col("n") + more).alias("n")))
+    return taken.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 #: The same rows in DuckDB: levels, running sums and the cut, on whole tables.

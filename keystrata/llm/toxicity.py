@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import blocks, ship, text_or_empty
+from keystrata.llm.shared import blocks, materialize, ship, text_or_empty
 
 #: Bounds of the sample that the classifiers are fitted on, in documents.
 POSITIVES, UNLABELLED = 6_000, 18_000
@@ -154,10 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     p = toxic.join(ids, "_id", "left_semi").orderBy(*order).limit(POSITIVES)
     u = ids.distinct().orderBy(F.xxhash64("_id", F.lit(1)), F.col("_id")).limit(UNLABELLED)  # labels aren't looked at: toxic texts are among them at the prior's rate
     chosen = p.withColumn("_p", F.lit(1)).unionByName(u.withColumn("_p", F.lit(0)))
-    found = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # at most POSITIVES + UNLABELLED ids
-    # One text for each id, however often it is repeated, so the bound holds for rows too.
-    first = found.groupBy("_p", "_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("m"))
-    sample = first.select("_p", F.col("m._text").alias("_text"))
+    # One text for each id, however often it is repeated, so the bound holds for rows too. Texts aren't shuffled unless an id repeats.
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    some = rows.select("_id", "_h").join(F.broadcast(chosen), "_id").groupBy("_p", "_id")  # at most POSITIVES + UNLABELLED ids
+    first = materialize(some.agg(F.min("_h").alias("_h"), F.count("*").alias("_n")), "sample")
+    sample = rows.join(F.broadcast(first.drop("_n")), ["_id", "_h"])
+    if not first.where("_n > 1").isEmpty():
+        sample = sample.groupBy("_p", "_id").agg(F.min("_text").alias("_text"))
+    sample = sample.select("_p", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = (Counter(), Counter())
