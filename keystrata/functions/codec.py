@@ -50,56 +50,48 @@ def decode_record(records: DataFrame, column: str = "record", in_log: bool = Fal
     return records.select(key.cast("string").alias("key"), value.alias("value"), dead.alias("tombstone"), _number(r, 5, 8).alias("ts"), _number(r, 1, 4).alias("crc"), (F.crc32(F.substring(r, F.lit(5), F.octet_length(r))) == _number(r, 1, 4)).alias("crc_ok"))
 
 
-def _varint(n: int) -> bytes:
-    out = bytearray()
-    while n >= 0x80:
-        out.append(n & 0x7F | 0x80)
-        n >>= 7
-    out.append(n)
-    return bytes(out)
-
-
 def encode_compact(log: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``key, ts, record``: variable-length numbers, and the key as its number in ``dictionary (key, id)``."""
 
     @F.pandas_udf("binary")
     def pack(crc: pd.Series, ts: pd.Series, dead: pd.Series, key: pd.Series, value: pd.Series) -> pd.Series:
-        return pd.Series([_varint(c) + _varint(t) + bytes([d]) + _varint(k) + (b"" if d else _varint(len(v or b"")) + (v or b"")) for c, t, d, k, v in zip(crc, ts, dead, key, value, strict=True)])
+        def number(n: int) -> bytes:
+            out = bytearray()
+            while n >= 0x80:
+                out.append(n & 0x7F | 0x80)
+                n >>= 7
+            return bytes([*out, n])
+
+        parts = zip(crc, ts, dead, key, value, strict=True)
+        return pd.Series([number(c) + number(t) + bytes([d]) + number(k) + (b"" if d else number(len(v or b"")) + (v or b"")) for c, t, d, k, v in parts])
 
     joined = log.join(dictionary, "key")
     return joined.select("key", "ts", pack(record_crc(False), F.col("ts"), F.col("tombstone"), F.col("id"), F.col("value")).alias("record"))
 
 
 def decode_compact(records: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``key, value, tombstone, ts, crc`` of compact records."""
+    """``key, value, tombstone, ts, crc, crc_ok`` of compact records; a wrong checksum is told, not hidden."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def number(raw: bytes, at: int) -> tuple[int, int]:
+            n = shift = 0
+            while True:
+                n |= (raw[at] & 0x7F) << shift
+                shift, at = shift + 7, at + 1
+                if raw[at - 1] < 0x80:
+                    return n, at
+
         for frame in frames:
             rows = []
             for raw in frame["record"]:
-                at, numbers = 0, []
-
-                def number() -> int:
-                    nonlocal at
-                    n = shift = 0
-                    while True:
-                        b = raw[at]
-                        at += 1
-                        n |= (b & 0x7F) << shift
-                        shift += 7
-                        if b < 0x80:
-                            return n
-
-                crc, ts = number(), number()
+                crc, at = number(raw, 0)
+                ts, at = number(raw, at)
                 dead = bool(raw[at])
-                at += 1
-                key = number()
-                value = None
-                if not dead:
-                    n = number()
-                    value = bytes(raw[at : at + n])
-                rows.append((key, value, dead, ts, crc))
+                key, at = number(raw, at + 1)
+                size, at = (0, at) if dead else number(raw, at)
+                rows.append((key, None if dead else bytes(raw[at : at + size]), dead, ts, crc))
             yield pd.DataFrame(rows, columns=["id", "value", "tombstone", "ts", "crc"])
 
     out = records.select("record").mapInPandas(run, "id long, value binary, tombstone boolean, ts long, crc long")
-    return out.join(dictionary, "id").select("key", "value", "tombstone", "ts", "crc")
+    named = out.join(dictionary, "id").select("key", "value", "tombstone", "ts", "crc")
+    return named.withColumn("crc_ok", F.col("crc") == record_crc(False))

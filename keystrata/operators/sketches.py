@@ -132,3 +132,65 @@ def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def hamming(a: str, b: str) -> Column:
     """Differing bits of two fingerprints ``struct(hi, lo)``; fewer is closer."""
     return F.bit_count(F.col(f"{a}.hi").bitwiseXOR(F.col(f"{b}.hi"))) + F.bit_count(F.col(f"{a}.lo").bitwiseXOR(F.col(f"{b}.lo")))
+
+
+# Sketches as one binary each, for storage beside other values. A sketch's size is set by its parameters, not by its items.
+
+
+def _hex(x: Column, size: int) -> Column:
+    return F.lpad(F.hex(x.cast("bigint")), 2 * size, "0")
+
+
+def _packed(cells: DataFrame, size: int, cell_bytes: int, head: str, seeds: list[int]) -> DataFrame:
+    """``sketch``: head, the cells ``at, n`` of 0 to ``size`` - 1 in big-endian order, seeds of 4 bytes."""
+    every = cells.sparkSession.range(size).withColumnRenamed("id", "at").join(cells, "at", "left")
+    one = F.struct("at", _hex(F.coalesce("n", F.lit(0)), cell_bytes).alias("x"))
+    body = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["x"]), "").alias("body"))
+    return body.select(F.unhex(F.concat(F.lit(head), "body", F.lit("".join(f"{s:08x}" for s in seeds)))).alias("sketch"))
+
+
+def _cells(sketch: DataFrame, start: int, size: int, cell_bytes: int) -> DataFrame:
+    """``at, n`` of the cells that aren't 0."""
+    body = sketch.select(F.hex(F.substring("sketch", start + 1, size * cell_bytes)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("at"))
+    n = F.conv(F.substring("x", F.col("at") * (2 * cell_bytes) + 1, F.lit(2 * cell_bytes)), 16, 10).cast("bigint")
+    return body.select(F.col("at").cast("bigint").alias("at"), n.alias("n")).where("n > 0")
+
+
+def bloom_pack(bits: DataFrame, m: int, k: int, first_seed: int = 1) -> DataFrame:
+    """One row ``sketch``: m and k in 4 bytes each, a byte for each bit, the seeds."""
+    return _packed(bits.select(F.col("pos").alias("at"), F.lit(1).alias("n")), m, 1, f"{m:08x}{k:08x}", list(range(first_seed, first_seed + k)))
+
+
+def bloom_unpack(sketch: DataFrame, m: int) -> DataFrame:
+    return _cells(sketch, 8, m, 1).select(F.col("at").alias("pos"))
+
+
+def cms_pack(cells: DataFrame, m: int, k: int, first_seed: int = 1) -> DataFrame:
+    """One row ``sketch``: m and k in 4 bytes each, rows of cells of 4 bytes, the seeds."""
+    flat = cells.select((F.col("row") * m + F.col("col")).alias("at"), F.col("cnt").alias("n"))
+    return _packed(flat, m * k, 4, f"{m:08x}{k:08x}", list(range(first_seed, first_seed + k)))
+
+
+def cms_unpack(sketch: DataFrame, m: int, k: int) -> DataFrame:
+    cells = _cells(sketch, 8, m * k, 4)
+    return cells.select(F.floor(F.col("at") / m).cast("int").alias("row"), (F.col("at") % m).alias("col"), F.col("n").alias("cnt"))
+
+
+def hll_pack(registers: DataFrame, p: int, seed: int = 1) -> DataFrame:
+    """One row ``sketch``: the number of registers in 8 bytes, p in one, a byte for each register, the seed."""
+    flat = registers.select(F.col("bucket").cast("bigint").alias("at"), F.col("rank").alias("n"))
+    return _packed(flat, 1 << p, 1, f"{1 << p:016x}{p:02x}", [seed])
+
+
+def hll_unpack(sketch: DataFrame, p: int) -> DataFrame:
+    return _cells(sketch, 9, 1 << p, 1).select(F.col("at").cast("int").alias("bucket"), F.col("n").cast("int").alias("rank"))
+
+
+def simhash_pack(hi: str = "hi", lo: str = "lo") -> Column:
+    """A fingerprint as 8 big-endian bytes."""
+    return F.unhex(F.concat(_hex(F.col(hi), 4), _hex(F.col(lo), 4)))
+
+
+def simhash_unpack(packed: Column) -> Column:
+    half = lambda start: F.conv(F.hex(F.substring(packed, start, 4)), 16, 10).cast("bigint")
+    return F.struct(half(1).alias("hi"), half(5).alias("lo"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,14 @@ def level_limit(level: int, algorithm: str, size: int = 2, multiplier: int = 1)
     return size if algorithm == "sizetiered" else (size + 1) * multiplier ** (level - 1)
 
 
+def due(counts: DataFrame, algorithm: str, size: int = 2, multiplier: int = 1, levels: int = 4) -> Column:
+    """Whether each row ``level, runs`` has reached its limit; the last of ``levels`` is never merged on."""
+    out = F.lit(False)
+    for level in range(1, levels):
+        out = F.when(counts["level"] == level, counts["runs"] >= level_limit(level, algorithm, size, multiplier)).otherwise(out)
+    return out
+
+
 def tiered(runs: list[Run], level: int, size: int) -> list[list[Run]]:
     """Full groups of the level's runs, oldest first."""
     own = sorted((r for r in runs if r.level == level), key=lambda r: r.segment)

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.functions.codec import decode_record, encode_record, record_crc
+from keystrata.functions.codec import decode_compact, decode_record, encode_compact, encode_record, record_crc
 from keystrata.functions.hashing import fnv1, fnv_hex
-from keystrata.model import reserved_column
+from keystrata.model import LOG_SCHEMA, reserved_column
 from keystrata.operators import integrity, merge, ratelimit, read, sketches
 from keystrata.plans import compaction
-from keystrata.sources.logs import bulk_load, event_log, order_log, table
+from keystrata.sources.logs import append_wal, bulk_load, event_log, move_low_watermark, order_log, read_wal, table, truncate_wal
+from keystrata.sources.scratch import materialize, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,22 +162,62 @@ def prefix_scan_all(spark: SparkSession, sf: str) -> DataFrame:
     return shown(read.prefix_rows(event_log(spark, sf), "user0000").orderBy("key"))
 
 
-# --- runs
+@query(f"with {V}, n as (select *, row_number() over (order by key) as step from v where key between 'user000010' and 'user000099') select step, {COLUMNS} from (select step, {COLUMNS} from n union all select 2 * (select count(*) from n) + 1 - step, {COLUMNS} from n)")
+def range_iterator_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """A range iterator to its end, and by Previous back to its start: Previous after a failed Next gives the last row again."""
+    return _walk(read.range_iterate(event_log(spark, sf), "user000010", "user000099", 16), spark)
 
 
-@query(f"with {RUNS} select {COLUMNS} from (select *, row_number() over (partition by key order by ts desc) as rm from d where segment in (0, 1, 2, 3)) where rm = 1")
-def merge_runs_tiered(spark: SparkSession, sf: str) -> DataFrame:
-    """The four oldest runs: two merges of two, and a merge of the results."""
-    r = runs(spark, sf)
-    pick = lambda *s: r.where(F.col("segment").isin(*s))
-    return shown(merge.merge_runs([merge.merge_runs([pick(0), pick(1)]), merge.merge_runs([pick(2), pick(3)])]))
+@query(f"with {V}, n as (select *, row_number() over (order by key) as step from v where starts_with(key, 'user00002')) select step, {COLUMNS} from (select step, {COLUMNS} from n union all select 2 * (select count(*) from n) + 1 - step, {COLUMNS} from n)")
+def prefix_iterator_walk(spark: SparkSession, sf: str) -> DataFrame:
+    return _walk(read.prefix_iterate(event_log(spark, sf), "user00002", 4), spark)
 
 
-@query(f"with {RUNS} select {COLUMNS} from (select *, row_number() over (partition by key order by ts desc) as rm from d where segment in (0, 2, 4)) where rm = 1")
-def merge_runs_leveled(spark: SparkSession, sf: str) -> DataFrame:
-    """One run and the runs of the next level that it overlaps."""
-    r = runs(spark, sf)
-    return shown(merge.merge_runs([r.where("segment = 0"), r.where("segment in (2, 4)")]))
+def _walk(cursor: read.Cursor, spark: SparkSession) -> DataFrame:
+    """The rows that a caller sees who calls Next to the end and then Previous to the start; a cursor's rows come to its caller one by one."""
+    seen = [cursor.current] if cursor.current else []
+    for move in (cursor.next, cursor.previous):
+        try:
+            while seen:
+                seen.append(move())
+        except StopIteration:
+            pass
+    cursor.stop()
+    rows = [(i, r["key"], None if r["value"] is None else bytes(r["value"]).decode(), r["tombstone"], r["ts"]) for i, r in enumerate(seen, 1)]
+    return spark.createDataFrame(rows, "step long, key string, value string, tombstone boolean, ts long")
+
+
+# --- the log on storage
+
+
+@query(f"with {L}, m as (select max(ts) // 2 as mark from l) select {COLUMNS} from l, m where ts > mark")
+def wal_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written in small files, its low watermark moved, and replayed from there."""
+    path, log = new_path(spark, "wal"), event_log(spark, sf)
+    append_wal(log, path, 1_000)
+    move_low_watermark(spark, path, log.agg(F.max("ts")).first()[0] // 2)
+    return shown(read_wal(spark, path))
+
+
+@query(f"with {L}, m as (select max(ts) // 3 as mark from l) select {COLUMNS} from l, m where ts > mark union all select 'late', 'x', false, 10000000000 from m")
+def wal_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    """The log cut at a watermark, with a version that came later."""
+    path, log = new_path(spark, "wal"), event_log(spark, sf)
+    append_wal(log, path)
+    truncate_wal(spark, path, log.agg(F.max("ts")).first()[0] // 3)
+    append_wal(spark.createDataFrame([("late", bytearray(b"x"), False, 10**10)], LOG_SCHEMA), path)
+    return shown(read_wal(spark, path))
+
+
+@query(f"with {L} select {COLUMNS}, true as crc_ok from l")
+def compact_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with variable-length numbers and keys as numbers, written and read back."""
+    log = event_log(spark, sf)
+    words = materialize(merge.key_dictionary(log), "dictionary")
+    return shown_ok(decode_compact(materialize(encode_compact(log, words), "records"), words))
+
+
+# --- runs
 
 
 def compacted(r: DataFrame, plan: Callable[[list[compaction.Run]], list[list[compaction.Run]]]) -> DataFrame:
@@ -193,13 +234,13 @@ SQL_COMPACTED = f"m as (select h.level, h.run as segment, {COLUMNS}, row_number(
 
 
 @query(f"with {RUNS}, s as (select segment, row_number() over (order by segment) - 1 as i, count(*) over () as n from (select distinct segment from d)), g as (select segment, i < n - n % 2 as whole, i // 2 as grp from s), h as (select segment, case when whole then 2 else 1 end as level, case when whole then min(segment) over (partition by grp) else segment end as run from g), {SQL_COMPACTED}")
-def compact_all_tiered(spark: SparkSession, sf: str) -> DataFrame:
+def merge_runs_tiered(spark: SparkSession, sf: str) -> DataFrame:
     """Every full group of two runs merged, over the whole log; a run left over stays on level 1."""
     return compacted(runs(spark, sf), lambda zones: compaction.tiered(zones, 1, 2))
 
 
 @query(f"with {RUNS}, z as (select segment, min(key) as lo, max(key) as hi from d group by segment), p as (select *, max(hi) over (order by lo, segment rows between unbounded preceding and 1 preceding) as seen from z), o as (select segment, sum(case when seen is null or lo > seen then 1 else 0 end) over (order by lo, segment rows unbounded preceding) as island from p), h as (select segment, 2 as level, min(segment) over (partition by island) as run from o), {SQL_COMPACTED}")
-def compact_all_leveled(spark: SparkSession, sf: str) -> DataFrame:
+def merge_runs_leveled(spark: SparkSession, sf: str) -> DataFrame:
     """Every run of level 1, oldest first, merged with the runs of level 2 that it overlaps, over the whole log."""
     return compacted(runs(spark, sf), lambda zones: compaction.leveled_groups(zones, 1))
 
@@ -209,13 +250,8 @@ def segment_zone_map(spark: SparkSession, sf: str) -> DataFrame:
     return compaction.zone_map(runs(spark, sf))
 
 
-@query(f"with {RUNS}, z as (select level, segment, min(key) as lo, max(key) as hi from d where segment % 2 = 0 or key < 'user000070' group by level, segment) select a.level, a.segment as a, b.segment as b from z a join z b on a.level = b.level and a.segment < b.segment and a.lo <= b.hi and a.hi >= b.lo")
-def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return compaction.overlaps(compaction.zone_map(runs(spark, sf).where("segment % 2 = 0 or key < 'user000070'")))
-
-
 @query(f"with {RUNS}, z as (select level, segment, min(key) as lo, max(key) as hi from d group by level, segment) select a.level, a.segment as a, b.segment as b from z a join z b on a.level = b.level and a.segment < b.segment and a.lo <= b.hi and a.hi >= b.lo")
-def segment_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+def segment_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Overlaps of all runs, with all their keys."""
     return compaction.overlaps(compaction.zone_map(runs(spark, sf)))
 
@@ -223,7 +259,7 @@ def segment_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {RUNS}, c as (select level, count(distinct segment) as n from d group by level) select level, n as runs, n >= 2 as tiered_due, n >= 3 * power(2, level - 1) as leveled_due from c")
 def level_compaction_plan(spark: SparkSession, sf: str) -> DataFrame:
     counts = runs(spark, sf).groupBy("level").agg(F.count_distinct("segment").alias("runs"))
-    return counts.select("level", "runs", (F.col("runs") >= compaction.level_limit(1, "sizetiered", 2)).alias("tiered_due"), (F.col("runs") >= 3 * F.pow(F.lit(2), F.col("level") - 1)).alias("leveled_due"))
+    return counts.select("level", "runs", compaction.due(counts, "sizetiered").alias("tiered_due"), compaction.due(counts, "leveled", 2, 2).alias("leveled_due"))
 
 
 # --- hashes and sketches
@@ -250,27 +286,12 @@ def bloom_params(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "n long, p double, m long, k long")
 
 
-BLOOM = sketches.bloom_size(1500, 0.01)
-SQL_POSITION = f"({sql_fnv(hex_of('item'), 'seed')} % {BLOOM[0]})::bigint"
-
-
-@query(f"select distinct {SQL_POSITION} as pos from ({NAMES}), range(1, {BLOOM[1] + 1}) s(seed)")
-def bloom_build(spark: SparkSession, sf: str) -> DataFrame:
-    return sketches.bloom_build(table(spark, sf, "customer"), "c_name", *BLOOM)
-
-
-@query(f"with b as (select distinct {SQL_POSITION} as pos from ({NAMES} where c_custkey % 3 <> 0), range(1, {BLOOM[1] + 1}) s(seed)), p as (select item, {SQL_POSITION} as pos from ({NAMES}), range(1, {BLOOM[1] + 1}) s(seed)) select item, count(b.pos) = count(*) as present from p left join b using (pos) group by item")
-def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "customer")
-    return sketches.bloom_probe(sketches.bloom_build(names.where("c_custkey % 3 <> 0"), "c_name", *BLOOM), names, "c_name", *BLOOM)
-
-
 SQL_SIZED = f"c as (select count(*) as n from ({NAMES} where c_custkey % 3 <> 0)), s as (select floor(-n * ln(0.01) / power(ln(2), 2))::bigint as m, floor(floor(-n * ln(0.01) / power(ln(2), 2)) / n * ln(2))::bigint as k from c)"
 SQL_SIZED_POSITION = f"({sql_fnv(hex_of('item'), 'seed')} % m)::bigint"
 
 
 @query(f"with {SQL_SIZED}, q as (select item, {SQL_SIZED_POSITION} as pos from (select item, m, unnest(range(1, k + 1)) as seed from ({NAMES}), s)), b as (select distinct pos from q where item in ({NAMES} where c_custkey % 3 <> 0)) select item, count(b.pos) = count(*) as present from q left join b using (pos) group by item")
-def bloom_probe_sized(spark: SparkSession, sf: str) -> DataFrame:
+def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
     """A filter sized by the count of the distinct names that it holds; a third of the names is absent."""
     names = table(spark, sf, "customer")
     held = names.where("c_custkey % 3 <> 0")
@@ -278,6 +299,40 @@ def bloom_probe_sized(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.bloom_probe(sketches.bloom_build(held, "c_name", *size), names, "c_name", *size)
 
 
+SQL_BLOOM = f"c as (select count(*) as n from ({NAMES})), s as (select floor(-n * ln(0.01) / power(ln(2), 2))::bigint as m, floor(floor(-n * ln(0.01) / power(ln(2), 2)) / n * ln(2))::bigint as k from c), b as (select distinct {SQL_SIZED_POSITION} as pos from (select item, m, unnest(range(1, k + 1)) as seed from ({NAMES}), s))"
+
+
+def named_filter(spark: SparkSession, sf: str) -> tuple[DataFrame, int, int]:
+    """The bits of a filter of all names, sized by their count, with its bits and hash functions."""
+    names = table(spark, sf, "customer")
+    size = sketches.bloom_size(names.select("c_name").distinct().count(), 0.01)
+    return sketches.bloom_build(names, "c_name", *size), *size
+
+
+@query(f"with {SQL_BLOOM} select pos from b")
+def bloom_build(spark: SparkSession, sf: str) -> DataFrame:
+    return named_filter(spark, sf)[0]
+
+
+def digest(sketch: DataFrame) -> DataFrame:
+    """``bytes, md5`` of the hexadecimal form of one binary."""
+    return sketch.select(F.octet_length("sketch").cast("bigint").alias("bytes"), F.md5(F.hex("sketch").cast("binary")).alias("md5"))
+
+
+def sql_digest(hexed: str, source: str) -> str:
+    return f"select (length(x) // 2)::bigint as bytes, md5(x) as md5 from (select {hexed} as x from {source})"
+
+
+SQL_BLOOM_HEX = "lpad(upper(to_hex(m)), 8, '0') || lpad(upper(to_hex(k)), 8, '0') || (select string_agg(case when b.pos is null then '00' else '01' end, '' order by i) from range((select m from s)) t(i) left join b on b.pos = i) || (select string_agg(lpad(upper(to_hex(i)), 8, '0'), '' order by i) from range(1, (select k from s) + 1) t(i))"
+
+
+@query(f"with {SQL_BLOOM} {sql_digest(SQL_BLOOM_HEX, 's')}")
+def bloom_codec(spark: SparkSession, sf: str) -> DataFrame:
+    """The filter as one binary, from bits that went through a binary before."""
+    bits, m, k = named_filter(spark, sf)
+    return digest(sketches.bloom_pack(sketches.bloom_unpack(sketches.bloom_pack(bits, m, k), m), m, k))
+
+
 @query("select e as epsilon, d as delta, ceil(exp(1) / e)::bigint as m, ceil(ln(exp(1) / d))::bigint as k from (values (0.01::double, 0.01::double), (0.001, 0.05)) t(e, d)")
 def cms_params(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(e, d, *sketches.cms_size(e, d)) for e, d in ((0.01, 0.01), (0.001, 0.05))], "epsilon double, delta double, m long, k long")
@@ -298,6 +353,15 @@ def cms_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.cms_frequency(sketches.cms_cells(log, "key", *CMS), log, "key", *CMS)
 
 
+SQL_CMS_HEX = f"'{CMS[0]:08X}{CMS[1]:08X}' || (select string_agg(lpad(upper(to_hex(coalesce(cnt, 0))), 8, '0'), '' order by i) from range({CMS[0] * CMS[1]}) g(i) left join t on t.row * {CMS[0]} + t.col = i) || '{''.join(f'{k:08X}' for k in range(1, CMS[1] + 1))}'"
+
+
+@query(f"with {SQL_CELLS} {sql_digest(SQL_CMS_HEX, '(select 1)')}")
+def cms_codec(spark: SparkSession, sf: str) -> DataFrame:
+    cells = sketches.cms_cells(event_log(spark, sf), "key", *CMS)
+    return digest(sketches.cms_pack(sketches.cms_unpack(sketches.cms_pack(cells, *CMS), *CMS), *CMS))
+
+
 SQL_HLL = f"h as (select {sql_fnv(hex_of('item'), '1')} as h from ({NAMES})), g as (select (h // 18014398509481984)::int as bucket, max((case when h = 0 then 64 else bit_count(xor(h, h - 1)) - 1 end) + 1)::int as rank from (select h::hugeint as h from h) group by 1)"
 
 
@@ -311,6 +375,15 @@ def hll_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return sketches.hll_estimate(sketches.hll_registers(table(spark, sf, "customer"), "c_name", 10), 10)
 
 
+SQL_HLL_HEX = "'00000000000004000A' || (select string_agg(lpad(upper(to_hex(coalesce(rank, 0))), 2, '0'), '' order by i) from range(1024) t(i) left join g on g.bucket = i) || '00000001'"
+
+
+@query(f"with {SQL_HLL} {sql_digest(SQL_HLL_HEX, '(select 1)')}")
+def hll_codec(spark: SparkSession, sf: str) -> DataFrame:
+    registers = sketches.hll_registers(table(spark, sf, "customer"), "c_name", 10)
+    return digest(sketches.hll_pack(sketches.hll_unpack(sketches.hll_pack(registers, 10), 10), 10))
+
+
 @query()
 def approx_distinct_native(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").agg(F.approx_count_distinct("c_name").alias("estimate"))
@@ -323,7 +396,8 @@ SQL_SIMHASH = f"w as (select doc_id as id, list_filter(string_split(lower(coales
 
 @query(f"with {SQL_SIMHASH} select id, {SQL_HEX.format('fp')} as fingerprint from f")
 def simhash_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return sketches.simhash(table(spark, sf, "documents"), "doc_id", "text").select("id", fnv_hex(F.struct("hi", "lo")).alias("fingerprint"))
+    stored = sketches.simhash(table(spark, sf, "documents"), "doc_id", "text").select("id", sketches.simhash_pack().alias("packed"))
+    return stored.select("id", fnv_hex(sketches.simhash_unpack(F.col("packed"))).alias("fingerprint"))
 
 
 @query(f"with {SQL_SIMHASH} select a.id as a, b.id as b, bit_count(xor(a.fp, b.fp))::int as distance from f a join f b on b.id = a.id + 1")
@@ -360,7 +434,8 @@ def shown_ok(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.col("value").cast("string").alias("value"), "tombstone", "ts", "crc_ok")
 
 
-SQL_LEAVES = f"{RUNS}, e as (select segment, row_number() over (partition by segment order by key, ts) - 1 as idx, {IN_RUN} as p from d), m as (select segment, idx, {SQL_HEX.format(sql_fnv('p', '1'))} as h from e)"
+SQL_CRC = f"xor(list_reduce(list_concat([4294967295::hugeint], {sql_bytes('p')}), lambda c, b: {_crc_step}), 4294967295::hugeint)"
+SQL_LEAVES = f"{RUNS}, o as (select segment, row_number() over (partition by segment order by key, ts) - 1 as idx, {IN_RUN} as p from d), e as (select segment, idx, lpad(upper(to_hex({SQL_CRC}::bigint)), 8, '0') || p as p from o), m as (select segment, idx, {SQL_HEX.format(sql_fnv('p', '1'))} as h from e)"
 
 
 @query(f"with {SQL_LEAVES} select segment, idx, h from m")
@@ -368,14 +443,34 @@ def merkle_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.merkle_leaves(runs(spark, sf))
 
 
-_empty = SQL_HEX.format(sql_fnv("''", "1"))
-_levels = ", ".join(f"n{k} as (select segment, idx // 2 as idx, case when count(*) = 1 then min(h) else {SQL_HEX.format(sql_fnv('(upper(string_agg(h, {q}{q} order by idx)))'.format(q=chr(39)), '1'))} end as h from n{k - 1} group by segment, idx // 2)" for k in range(1, 11))
-SQL_ROOT = f"{SQL_LEAVES}, s as (select segment, count(*) as n, power(2, ceil(log2(count(*))))::bigint as size from m group by segment), n0 as (select * from m union all select segment, unnest(range(n, size)) as idx, {_empty} as h from s), {_levels}"
+# Trees of any height: a level's nodes are paired until one is left. The empty record is 25 zero bytes after their checksum.
+_empty_payload = f"(select {SQL_CRC}::bigint from (select repeat('00', 25) as p))"
+SQL_NODES = f"""{SQL_LEAVES}, s as (select segment, count(*) as n, power(2, ceil(log2(count(*))))::bigint as size from m group by segment),
+z as (select {SQL_HEX.format(sql_fnv('x', '1'))} as h from (select lpad(upper(to_hex({_empty_payload})), 8, '0') || repeat('00', 25) as x)),
+n0 as (select segment, idx, h from m union all select segment, i as idx, z.h from (select segment, unnest(range(n, size)) as i from s), z),
+t as (select segment, 0 as level, list(h order by idx) as hs from n0 group by segment
+  union all select segment, level + 1, list_transform(range(1, len(hs) // 2 + 1), lambda i: {SQL_HEX.format(sql_fnv("upper(hs[2 * i - 1] || hs[2 * i])", '1')).replace('lambda i:', 'lambda y:').replace('2 * i + 1', '2 * y + 1').replace('2 * i + 2', '2 * y + 2')}) from t where len(hs) > 1)"""
 
 
-@query(f"with {SQL_ROOT} select segment, h from n10")
+@query(f"with recursive {SQL_NODES} select segment, hs[1] as h from t where len(hs) = 1")
 def merkle_root(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.merkle_root(integrity.merkle_leaves(runs(spark, sf)), 10)
+    return integrity.merkle_root(integrity.merkle_leaves(runs(spark, sf)))
+
+
+@query(f"with recursive {SQL_NODES}, u as (select segment, level, unnest(range(len(hs))) as idx, unnest(hs) as h from t) select segment, level, idx, h from u where level > 0 or idx < (select n from s where s.segment = u.segment)")
+def merkle_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes of all trees: what is stored of a tree, without the leaves that only pad it."""
+    return integrity.merkle_nodes(integrity.merkle_leaves(runs(spark, sf)))
+
+
+@query(f"with {RUNS} select segment, {COLUMNS} from (select segment, key, case when ts % 97 = 0 and not tombstone then 'flipped' else value end as value, tombstone, ts from d) where ts % 97 = 0 and not tombstone")
+def check_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that were changed since their runs were sealed."""
+    r = runs(spark, sf)
+    hit = (F.col("ts") % 97 == 0) & ~F.col("tombstone")
+    changed = r.withColumn("value", F.when(hit, F.lit("flipped").cast("binary")).otherwise(F.col("value")))
+    bad = integrity.verify_segment(changed, integrity.merkle_leaves(r))
+    return bad.select("segment", "key", F.col("value").cast("string").alias("value"), "tombstone", "ts")
 
 
 @query(f"with {RUNS}, e as (select segment, row_number() over (partition by segment order by key, ts) - 1 as idx, ts, tombstone from d) select segment, idx from e where ts % 97 = 0 and not tombstone")
@@ -392,13 +487,27 @@ def merkle_corrupted(spark: SparkSession, sf: str) -> DataFrame:
 PERIOD = 259_200
 
 
-@query(f"""with recursive o as (select user_id, event_id, epoch_us(ts) // 1000000 as t, row_number() over (partition by user_id order by epoch_us(ts) // 1000000, event_id) as rn from events),
+SQL_BUCKETS = f"""with recursive o as (select user_id, event_id, epoch_us(ts) // 1000000 as t, row_number() over (partition by user_id order by epoch_us(ts) // 1000000, event_id) as rn from events),
 r as (select user_id, event_id, rn, t, 2 as tokens, t as last, true as ok from o where rn = 1
-union all select o.user_id, o.event_id, o.rn, o.t, case when o.t - r.last > {PERIOD} then 2 when r.tokens > 0 then r.tokens - 1 else 0 end, case when o.t - r.last > {PERIOD} then o.t else r.last end, o.t - r.last > {PERIOD} or r.tokens > 0 from r join o on o.user_id = r.user_id and o.rn = r.rn + 1)
-select user_id::varchar as bucket, t as op_ts, event_id as seq, ok as allowed from r""")
+union all select o.user_id, o.event_id, o.rn, o.t, case when o.t - r.last > {PERIOD} then 2 when r.tokens > 0 then r.tokens - 1 else 0 end, case when o.t - r.last > {PERIOD} then o.t else r.last end, o.t - r.last > {PERIOD} or r.tokens > 0 from r join o on o.user_id = r.user_id and o.rn = r.rn + 1)"""
+
+
+@query(f"{SQL_BUCKETS} select user_id::varchar as bucket, t as op_ts, event_id as seq, ok as allowed from r")
 def token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     ops = table(spark, sf, "events").select(F.col("user_id").alias("bucket"), F.floor(F.unix_micros(F.col("ts").cast("timestamp_ltz")) / 1_000_000).alias("op_ts"), F.col("event_id").alias("seq"))
-    return ratelimit.token_bucket(ops, 3, PERIOD)
+    return ratelimit.token_bucket(ops, 3, PERIOD).drop("state")
+
+
+def _varint_hex(x: str) -> str:
+    """A number as a variable-length one in hexadecimal: five groups of seven bits at most."""
+    return " || ".join(f"case when {k} = 0 or ({x}) >> {7 * k} > 0 then lpad(upper(to_hex((({x}) >> {7 * k}) & 127 | case when ({x}) >> {7 * k + 7} > 0 then 128 else 0 end)), 2, '0') else '' end" for k in range(5))
+
+
+@query(f"{SQL_BUCKETS} select user_id::varchar as bucket, {_varint_hex('tokens')} || {_varint_hex('last')} as state from r qualify row_number() over (partition by user_id order by rn desc) = 1")
+def bucket_states(spark: SparkSession, sf: str) -> DataFrame:
+    """What is stored of each bucket after its last operation."""
+    ops = table(spark, sf, "events").select(F.col("user_id").alias("bucket"), F.floor(F.unix_micros(F.col("ts").cast("timestamp_ltz")) / 1_000_000).alias("op_ts"), F.col("event_id").alias("seq"))
+    return ratelimit.bucket_states(ops, 3, PERIOD).select("bucket", F.hex("state").alias("state"))
 
 
 @query("select op, cost from (values ('put', 1), ('get', 1), ('delete', 1), ('sketch_write', 1), ('scan', 0), ('iterate', 0), ('sketch_read', 0), ('sketch_delete', 0)) t(op, cost)")

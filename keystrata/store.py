@@ -13,7 +13,7 @@ from keystrata.operators import integrity, read, sketches
 from keystrata.operators.merge import latest, merge_runs
 from keystrata.operators.ratelimit import TokenBucket
 from keystrata.plans import compaction
-from keystrata.sources.logs import append_wal, read_wal, truncate_wal
+from keystrata.sources.logs import append_wal, read_wal, remove_files, wal_files
 
 
 class RateLimited(RuntimeError):
@@ -25,10 +25,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None) -> None:
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
-        self.bucket = TokenBucket(self.config.bucket_capacity, self.config.bucket_period)
         jvm = spark._jvm.org.apache.hadoop.fs
         self._p = jvm.Path
         self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.bucket = self._load_bucket()
 
     # files
 
@@ -62,8 +62,26 @@ class Store:
 
     # writing
 
+    def _load_bucket(self) -> TokenBucket:
+        """The bucket as it was stored last: a file's name holds its state, so it is there whole or not at all."""
+        size = (self.config.bucket_capacity, self.config.bucket_period)
+        states = self._numbers("bucket", "charge")
+        if not states:
+            return TokenBucket(*size)
+        name = next(s.getPath().getName() for s in self._fs.listStatus(self._p(f"{self.path}/bucket/charge={states[-1]}")))
+        return TokenBucket.from_bytes(bytes.fromhex(name), *size)
+
     def charge(self, now: int | None = None) -> None:
-        if self.config.rate_limit and not self.bucket.use(int(time.time()) if now is None else now):
+        """Take a token and store the bucket's state, so that a store opened anew has no more tokens than this one."""
+        if not self.config.rate_limit:
+            return
+        self.bucket = self._load_bucket()
+        allowed = self.bucket.use(int(time.time()) if now is None else now)
+        states = self._numbers("bucket", "charge")
+        self._fs.create(self._p(f"{self.path}/bucket/charge={max(states, default=0) + 1}/{self.bucket.to_bytes().hex()}"), True).close()
+        for n in states:
+            self._fs.delete(self._p(f"{self.path}/bucket/charge={n}"), True)
+        if not allowed:
             raise RateLimited("rate limit exceeded")
 
     def append(self, records: DataFrame) -> None:
@@ -75,6 +93,15 @@ class Store:
     def _one(self, key: str, value: bytes | None) -> None:
         row = [(key, None if value is None else bytearray(value), value is None, time.time_ns())]
         self.append(self.spark.createDataFrame(row, LOG_SCHEMA))
+        self.flush_if_full()
+
+    def flush_if_full(self) -> bool:
+        """Flush when the log holds as many different keys as all tables together may."""
+        log = read_wal(self.spark, f"{self.path}/wal", verify=False)
+        full = log.select("key").distinct().count() >= self.config.table_size * self.config.number_of_tables
+        if full:
+            self.flush()
+        return full
 
     def put(self, key: str, value: bytes) -> None:
         self.charge()
@@ -95,15 +122,16 @@ class Store:
         return segment
 
     def flush(self, compact: bool = True) -> None:
-        """The log becomes a run of level 1, and the log is cut at the newest version written."""
-        if not self._exists("wal"):
+        """The log's files become a run of level 1 and go."""
+        files = wal_files(self.spark, f"{self.path}/wal")
+        if not files:
             return
-        rows = read_wal(self.spark, f"{self.path}/wal")
-        newest = rows.agg(F.max("ts")).first()[0]
-        if newest is None:
+        # These files and no others, so what is appended meanwhile stays; a crash before the end leaves versions twice, which changes nothing.
+        rows = read_wal(self.spark, f"{self.path}/wal", files=files)
+        if rows.isEmpty():
             return
-        self._write(latest(rows.where(F.col("ts") <= newest)), 1)
-        truncate_wal(self.spark, f"{self.path}/wal", newest)
+        self._write(latest(rows), 1)
+        remove_files(self.spark, files)
         if compact:
             self.compact()
 
@@ -129,7 +157,7 @@ class Store:
     def log(self) -> DataFrame:
         """All versions in runs and log. Filters on ``key`` reach each file."""
         parts = [self.run(n, s) for n, s in self.runs()]
-        if self._exists("wal"):
+        if wal_files(self.spark, f"{self.path}/wal"):
             parts.append(read_wal(self.spark, f"{self.path}/wal"))
         out = self.spark.createDataFrame([], LOG_SCHEMA)
         for p in parts:
@@ -172,15 +200,22 @@ class Store:
     def save_sketch(self, kind: str, name: str, rows: DataFrame) -> None:
         """``kind`` is bf, cms, hll or simhash. Adding is saving the merge of old and new rows under the name."""
         self.charge()
-        where, new = self._sketch(kind, name), self._sketch(kind, f"{name}.new")
-        rows.write.mode("overwrite").parquet(new)
-        self._fs.delete(self._p(where), True)
-        self._fs.rename(self._p(new), self._p(where))
+        versions = self._numbers(f"sketches/{kind}/{name}", "version")
+        rows.write.parquet(f"{self._sketch(kind, name)}/version={max(versions, default=0) + 1}")
+        for n in versions:  # the new version is whole before the old ones go
+            self._fs.delete(self._p(f"{self._sketch(kind, name)}/version={n}"), True)
 
     def load_sketch(self, kind: str, name: str) -> DataFrame:
-        if not self._fs.exists(self._p(self._sketch(kind, name))):
+        place = f"sketches/{kind}/{name}"
+        whole = [n for n in self._numbers(place, "version") if self._exists(f"{place}/version={n}/_SUCCESS")]
+        if not whole:
             raise KeyNotFound(f"{kind}_{name} not found")
-        return self.spark.read.parquet(self._sketch(kind, name))
+        return self.spark.read.parquet(f"{self._sketch(kind, name)}/version={whole[-1]}")
+
+    def compare_fingerprints(self, a: str, b: str) -> int:
+        """Differing bits of two stored fingerprints, each a table of one row ``hi, lo``."""
+        one, two = (self.load_sketch("simhash", n).select(F.struct("hi", "lo").alias(c)) for n, c in ((a, "x"), (b, "y")))
+        return one.join(two, F.lit(True)).select(sketches.hamming("x", "y")).first()[0]
 
     def delete_sketch(self, kind: str, name: str) -> None:
         if kind == "simhash":

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from keystrata.operators.merge import latest
 from keystrata.operators.ratelimit import TokenBucket
+from keystrata.sources.scratch import ship
 from keystrata.store import Store
 
 
@@ -30,6 +31,8 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, **trigger) -> Strea
 def limit_stream(ops: DataFrame, capacity: int = 3, period: int = 10) -> DataFrame:
     """``ops (bucket, op_ts, seq)`` with ``allowed``; a bucket's tokens live in the state store."""
 
+    ship(ops.sparkSession)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (capacity, None)
         bucket = TokenBucket(capacity, period, tokens, last)
