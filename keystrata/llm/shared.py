@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import re
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,80 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from keystrata.sources import scratch
+from keystrata.sources.scratch import delete_tables, materialize, new_path, shared_dir  # noqa: F401
+
 #: Bytes that a side may have, by a count and its columns' widths, to be broadcast; anything larger is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch, about: rows are whole texts, and each task holds several copies of a batch.
 BATCH_BYTES = 8 << 20
 
-_shipped: set[str] = set()
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context, and cut the session's Arrow batches by ``BATCH_BYTES``.
+    """Send this package to the Python workers, and cut the session's Arrow batches by ``BATCH_BYTES``.
 
     The size that the cluster's own configuration gives, if any, stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not spark.sparkContext.getConf().contains(name):
         spark.conf.set(name, str(BATCH_BYTES))
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="keystrata-code-")
-    atexit.register(shutil.rmtree, folder, True)
-    target = os.path.join(folder, "keystrata.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for top, _, names in os.walk(package):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(target)
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where it is unset and Spark runs in one process (tests, local mode) a temporary folder is set instead; on
-    a cluster each machine would write to a disk of its own, so there it must be set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="keystrata-shared-")
-        atexit.register(shutil.rmtree, root, True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/keystrata/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{label}"
-
-
-def delete_tables(spark: SparkSession) -> None:
-    """Delete all that this application has written under the shared folder, once its results are written elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/keystrata/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage, and the rows survive lost executors. ``delete_tables`` deletes
-    them when the results that came from them have been written.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    scratch.ship(spark)
 
 
 @contextmanager
