@@ -41,11 +41,53 @@ def test_neighbours_over_many_shards_and_blocks(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = v.collect()
     ids, pts = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
-    got = vptree.nearest_neighbours(v, v.where("vec_id % 10 = 0"), 7, shard=60, query_block=5).orderBy("query_id", "rank").collect()
+    got = vptree.nearest_neighbours(v, v.where("vec_id % 10 = 0"), 7, shard=60).orderBy("query_id", "rank").collect()
     want = [(q, n + 1, i, d) for q in sorted(ids[ids % 10 == 0]) for n, (d, i) in enumerate(brute(ids, pts, pts[ids == q][0], 7, q))]
     assert [tuple(r) for r in got] == want
 
 
+def planted(spark, n, seed=3):
+    """Forty clusters, a third of all rows one vector, and a few far-off vectors."""
+    rng = np.random.default_rng(seed)
+    pts = (rng.normal(size=(40, 6)) * 20)[rng.integers(0, 40, n)] + rng.normal(size=(n, 6))
+    pts[: n // 3], pts[-5:] = pts[0], pts[-5:] * 1e3
+    pts = pts.astype(np.float32).astype(np.float64)[rng.permutation(n)]
+    return pts, spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "vec_id long, embedding array<float>").repartition(4)
+
+
+def test_regions_lose_nothing_and_a_relaxed_bound_little(spark):
+    pts, v = planted(spark, 3000)
+    ids = np.arange(3000)
+    want = [(q, n + 1, i, d) for q in range(0, 3000, 50) for n, (d, i) in enumerate(brute(ids, pts, pts[q], 10, q))]
+    run = lambda **kw: [tuple(r) for r in vptree.nearest_neighbours(v, v.where("vec_id % 50 = 0"), shard=100, **kw).orderBy("query_id", "rank").collect()]
+    assert run() == want and run(pivots=3) == want and run(pivots=1) == want
+    loose = run(factor=1.5)
+    kth = {q: d for q, rank, _, d in want if rank == 10}  # equal distances count alike: a third of the rows are one vector
+    assert sum(d <= kth[q] for q, _, _, d in loose) >= 0.9 * len(want)
+
+
+def test_a_tree_is_built_once_and_its_bytes_give_it_back(spark):
+    pts, v = planted(spark, 3000)
+    tree = vptree.VPTree(np.arange(3000), pts)
+    again = vptree.VPTree.unpack(tree.pack("<f4"))
+    assert all(tree.search(pts[q], 5, q) == again.search(pts[q], 5, q) for q in range(0, 3000, 100))
+    near = tree.search(pts[7], 5, 7)
+    assert again.search(pts[7], 5, 7, within=near[2][0]) == [x for x in near if x[0] <= near[2][0]]
+
+
+def test_repeated_ids_and_lengths_over_several_shards(spark):
+    rows = [(i % 50, [float(i % 7), float(i // 50) + 1]) for i in range(100)] + [(100 + i, [1.0, 2.0, float(i)]) for i in range(30)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kept = {}
+    for i, e in rows:
+        kept[i] = min(kept.get(i, e), e)
+    want = []
+    for q, e in sorted(kept.items()):
+        others = [(math.dist(e, x), i) for i, x in kept.items() if i != q and len(x) == len(e)]
+        want += [(q, n + 1, i, pytest.approx(d)) for n, (d, i) in enumerate(sorted(others)[:4])]
+    assert [tuple(r) for r in vptree.nearest_neighbours(v, v, 4, shard=8).orderBy("query_id", "rank").collect()] == want
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.5])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as shard", "3 as score")
