@@ -141,19 +141,31 @@ def _hex(x: Column, size: int) -> Column:
     return F.lpad(F.hex(x.cast("bigint")), 2 * size, "0")
 
 
+#: Cells that one row holds on the way to and from a binary.
+PIECE = 1024
+
+
 def _packed(cells: DataFrame, size: int, cell_bytes: int, head: str, seeds: list[int]) -> DataFrame:
-    """``sketch``: head, the cells ``at, n`` of 0 to ``size`` - 1 in big-endian order, seeds of 4 bytes."""
+    """``sketch``: head, the cells ``at, n`` of 0 to ``size`` - 1 in big-endian order, seeds of 4 bytes.
+
+    Cells are joined by pieces; what meets in one row is a binary for each piece.
+    """
     every = cells.sparkSession.range(size).withColumnRenamed("id", "at").join(cells, "at", "left")
     one = F.struct("at", _hex(F.coalesce("n", F.lit(0)), cell_bytes).alias("x"))
-    body = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda c: c["x"]), "").alias("body"))
+    in_order = lambda rows: F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda c: c["x"]), "")
+    pieces = every.groupBy(F.floor(F.col("at") / PIECE).alias("piece")).agg(in_order(one).alias("x"))
+    body = pieces.agg(in_order(F.struct("piece", "x")).alias("body"))
     return body.select(F.unhex(F.concat(F.lit(head), "body", F.lit("".join(f"{s:08x}" for s in seeds)))).alias("sketch"))
 
 
 def _cells(sketch: DataFrame, start: int, size: int, cell_bytes: int) -> DataFrame:
-    """``at, n`` of the cells that aren't 0."""
-    body = sketch.select(F.hex(F.substring("sketch", start + 1, size * cell_bytes)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("at"))
-    n = F.conv(F.substring("x", F.col("at") * (2 * cell_bytes) + 1, F.lit(2 * cell_bytes)), 16, 10).cast("bigint")
-    return body.select(F.col("at").cast("bigint").alias("at"), n.alias("n")).where("n > 0")
+    """``at, n`` of the cells that aren't 0; no row carries more than a piece of the binary."""
+    cut = lambda i: F.struct(i.alias("piece"), F.substring("sketch", i * (PIECE * cell_bytes) + (start + 1), F.lit(PIECE * cell_bytes)).alias("x"))
+    pieces = sketch.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit((size - 1) // PIECE)), cut)).alias("p")).select("p.*")
+    number = lambda j: F.conv(F.hex(F.substring("x", j * cell_bytes + 1, F.lit(cell_bytes))), 16, 10).cast("bigint")
+    inside = F.sequence(F.lit(0), F.least(F.lit(PIECE), size - F.col("piece") * PIECE) - 1)
+    found = F.transform(inside, lambda j: F.struct((F.col("piece").cast("bigint") * PIECE + j).alias("at"), number(j).alias("n")))
+    return pieces.repartition("piece").select(F.explode(F.filter(found, lambda c: c["n"] > 0)).alias("c")).select("c.*")
 
 
 def bloom_pack(bits: DataFrame, m: int, k: int, first_seed: int = 1) -> DataFrame:

@@ -232,6 +232,28 @@ def test_sketch_bytes(spark):
     assert fingerprint.select(sketches.simhash_unpack(F.col("p")).alias("u")).first()["u"] == (2**32 - 1, 5)
 
 
+@pytest.mark.parametrize("size", [sketches.PIECE - 1, sketches.PIECE, 5 * sketches.PIECE + 7])
+def test_sketch_bytes_of_many_pieces(spark, size):
+    """Cells at both sides of each cut, and pieces without any."""
+    places = sorted({at for at in (0, 1, sketches.PIECE - 1, sketches.PIECE, 4 * sketches.PIECE, size - 1) if at < size})
+    sketch = sketches.bloom_pack(spark.createDataFrame([(at,) for at in places], "pos long"), size, 1)
+    want = bytearray(size)
+    for at in places:
+        want[at] = 1
+    assert bytes(sketch.first()[0])[8:-4] == bytes(want)
+    assert sorted(r.pos for r in sketches.bloom_unpack(sketch, size).collect()) == places
+    counts = [(0, at, 70_000 + at) for at in places]
+    cells = sketches.cms_pack(spark.createDataFrame(counts, "row int, col long, cnt long"), size, 1)
+    assert sorted(map(tuple, sketches.cms_unpack(cells, size, 1).collect())) == counts
+
+
+def test_a_large_filter_is_read_in_time(spark):
+    sketch = spark.range(1).select(F.unhex(F.concat(F.lit("000f424000000001"), F.expr("repeat('00', 999999)"), F.lit("0100000001"))).alias("sketch"))
+    began = time.time()
+    assert [r.pos for r in sketches.bloom_unpack(sketch, 1_000_000).collect()] == [999_999]
+    assert time.time() - began < 60
+
+
 def test_bucket_bytes():
     b = ratelimit.TokenBucket(300, 10, 200, 1_700_000_000)
     assert b.to_bytes().hex() == "c801" + "80e2cfaa06"
