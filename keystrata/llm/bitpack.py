@@ -61,6 +61,19 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return ((words >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers of chunks, from 0; looking one up numbers it, and ``new`` lists those numbered last."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE file of the ``tokenizers`` library.
 
@@ -95,39 +108,49 @@ class Encoder:
         self.bytes_of = np.zeros(self.vocabulary, np.int64)
         for word, i in vocabulary.items():
             self.bytes_of[i] = len(word)  # a byte is a character in this alphabet
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        #: The ids of all known chunks by number, and where each one's end; the first entry is 0.
+        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode many chunks, each after a space, as a few long texts, and cut the ids by their bytes."""
-        for at in range(0, len(chunks), 2000):
-            some = chunks[at : at + 2000]
-            ids = np.array(self.model.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(c.encode()) + 1 for c in some])
-            cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 4).tolist()
-            raw = ids.tobytes()
-            self.known.update((c, raw[a:b]) for c, a, b in zip(some, [0, *cuts], cuts, strict=False))
+    def _learn(self) -> None:
+        """Encode the chunks that are new, each after a space, as a few long texts, and cut the ids by their bytes."""
+        new, self.known.new = self.known.new, []
+        flat, sizes = [self.flat], []
+        for at in range(0, len(new), 2000):
+            text = " " + " ".join(new[at : at + 2000])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # chunks hold no space
+            flat.append(ids)
+            sizes.append(np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0))
+        if new:
+            self.flat = np.concatenate(flat)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        get, heads, cut, missing = self.known.get, [], [], {}
+            self._forget()
+        number, heads, cut = self.known.__getitem__, [], []
         for x in texts:
-            parts = x.split(" ") if self.cuttable(x) else [x]
-            heads.append(parts[0])
-            del parts[0]
-            found = list(map(get, parts))
-            if None in found:
-                missing.update((c, None) for c, ids in zip(parts, found, strict=True) if ids is None)
-                cut.append((parts, None))
-            else:
-                cut.append((None, found))
-        self._learn(list(missing))
-        get = self.known.__getitem__
-        return [head + b"".join(map(get, parts) if found is None else found) for head, (parts, found) in zip(self.whole(heads), cut, strict=True)]
+            head, *parts = x.split(" ") if self.cuttable(x) else [x]
+            heads.append(head)
+            cut.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        self._learn()
+        out = []
+        for head, at in zip(self.whole(heads), cut, strict=True):
+            size = self.ends[at + 1] - self.ends[at]
+            past = np.cumsum(size)
+            # The place of each id: its chunk's first, and how far it is into the chunk.
+            place = np.arange(past[-1] if len(at) else 0) + np.repeat(self.ends[at] - past + size, size)
+            out.append(head + self.flat[place].tobytes())
+        return out
 
 
 def encoder(path: str) -> Encoder:

@@ -101,3 +101,15 @@ def test_packed_odd_rows(odd_docs, no_docs):
     assert [r.start for r in rows] == [0, *np.cumsum([len(x) for x in ids])[:-1]]
     assert [r.n_tokens for r in rows][1:3] == [1, 1]
     assert bitpack.packed_digest(no_docs, VOCABULARY).collect() == []
+
+
+def test_a_chunk_is_kept_once(monkeypatch):
+    """Chunks are numbered when first met, ids kept once for each, and forgetting them changes nothing."""
+    texts, e = ["some words, some more words", "more words again: some\n", "none", ""], bitpack.Encoder(VOCABULARY)
+    want = direct_ids(texts)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    kinds = {" " + c for t in texts for c in t.split(" ")[1:]}
+    assert len(e.known) == len(e.ends) - 1 == len(kinds) and len(e.flat) == sum(map(len, direct_ids(sorted(kinds))))
+    monkeypatch.setattr(bitpack, "REMEMBERED", 2)
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts[1:])] == want[1:] and len(e.known) < len(kinds)
