@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import materialize, ship
+from keystrata.llm.shared import materialize, ship, tidy
 
 #: Links up to which one task joins them, in bounded memory; more are joined by all.
 ONE_TASK = 1_000_000
@@ -39,7 +39,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[top[keep]])], ["id", "root"])
 
     ship(edges.sparkSession)
-    return materialize(edges.coalesce(1).mapInArrow(run, "id long, root long"), "roots")
+    return materialize(edges.coalesce(1).mapInArrow(tidy(run), "id long, root long"), "roots")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.components import connected_components
-from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, packed, ship, text_hashes
+from keystrata.llm.shared import batches_of, blocks, join_checked, materialize, packed, ship, text_hashes, tidy
 from keystrata.llm.wordhash import mix, shingles
 
 #: Words in a shingle and least similarity.
@@ -113,7 +113,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words: int, bands: in
 
     h1, h2 = text_hashes(text_col)
     hashed = docs.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("_text"))
-    return hashed.mapInArrow(run, "id long, h1 long, h2 long, bands array<long>")
+    return hashed.mapInArrow(tidy(run), "id long, h1 long, h2 long, bands array<long>")
 
 
 def _id_or_flag(name: str) -> tuple[Column, Column]:
@@ -125,7 +125,7 @@ def _sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words:
     """``id, s, w``: shingles and weights, as binaries, of ``texts`` (id, h1, h2, rep), each found in a row whose id is ``rep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text", 4 << 20):
+        for b in blocks(batches, "_text", 1 << 20):
             n = b.num_rows
             who, what, count = shingles(b.column(1).to_pylist(), words)
             cut = np.searchsorted(who, np.arange(n + 1))
@@ -136,7 +136,7 @@ def _sets(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, words:
     h1, h2 = text_hashes(text_col)
     there = docs.select(h1.alias("h1"), h2.alias("h2"), *_id_or_flag(id_col), F.col(text_col).alias("_text"))
     wanted = join_checked(there, texts.select("id", "h1", "h2", *_id_or_flag("rep")), ["h1", "h2", "rep", "none"])
-    return wanted.select("id", "_text").mapInArrow(run, "id long, s binary, w binary")
+    return wanted.select("id", "_text").mapInArrow(tidy(run), "id long, s binary, w binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -155,7 +155,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("w").alias("wb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "wa", "sb", "wb")
     # A link is one comparison, but sets can be long: many small tasks rather than few.
-    return joined.mapInArrow(run, "a long, b long, similarity double, keep boolean").where("keep").drop("keep")
+    return joined.mapInArrow(tidy(run), "a long, b long, similarity double, keep boolean").where("keep").drop("keep")
 
 
 class _Cell:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -89,6 +90,32 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
             yield batch.slice(start)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker returns the memory that it no longer uses to the system.
+
+    Workers are used again by later tasks and stages, and wait idle beside others; what the allocators would keep
+    of a task's peak counts for each of them.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    """Return free memory of Python, Arrow and the C library to the system, where the library can."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ordered_positions(df: DataFrame, keys: list[str], amount: str, label: str) -> DataFrame:
     """Global order by ``keys`` with two running totals, without a single-task sort.
 
@@ -115,7 +142,7 @@ def ordered_positions(df: DataFrame, keys: list[str], amount: str, label: str) -
                 rows, total = rows + n, total + sums[-1].as_py()
 
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    kept = materialize(ranged.mapInArrow(run, f"{schema}, _part int, _row long, _sum long"), label)
+    kept = materialize(ranged.mapInArrow(tidy(run), f"{schema}, _part int, _row long, _sum long"), label)
     totals = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(amount).alias("_t"))
     offsets = totals.selectExpr(
         "_part",

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.shared import blocks, materialize, ship, text_or_empty
+from keystrata.llm.shared import blocks, materialize, ship, text_or_empty, tidy
 
 #: Bounds of the sample that the classifiers are fitted on, in documents.
 POSITIVES, UNLABELLED = 6_000, 18_000
@@ -32,6 +32,8 @@ SURE = 14.0
 #: Share of the toxic texts that a feature must explain to get a weight.
 SPARSITY = 0.01
 CLASSIFIERS, STEPS = 3, 400
+#: Features that a task counts before it passes them on; memory only, results are the same.
+HELD = 100_000
 
 #: Lengths of word beginnings, and up to how many words that share one are told apart.
 PREFIXES, MOST_SHARED = (4, 5, 6, 7), 3
@@ -164,17 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = sample.select("_p", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
+            names = list(n[0].keys() | n[1].keys())
+            for at in range(0, len(names), 50_000):
+                some = names[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([n[k][w] for w in some], pa.int64()) for k in (1, 0))], ["feature", "p", "u"])
+
         n = (Counter(), Counter())
-        for b in blocks(batches, "_text"):
+        for b in blocks(batches, "_text", 1 << 20):
             for is_p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 n[is_p].update(features(x))
                 n[is_p][""] += 1
-        names = list(n[0].keys() | n[1].keys())
-        for at in range(0, len(names), 50_000):
-            some = names[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), *(pa.array([n[k][w] for w in some], pa.int64()) for k in (1, 0))], ["feature", "p", "u"])
+                if len(n[0]) + len(n[1]) > HELD:  # they are added up again where they meet
+                    yield from counted()
+                    n = (Counter(), Counter())
+        yield from counted()
 
-    counts = sample.mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= LEAST_POSITIVE) | (F.col("feature") == "")).cache()
+    counts = sample.mapInArrow(tidy(count), "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where((F.col("p") >= LEAST_POSITIVE) | (F.col("feature") == "")).cache()
     total = counts.where("feature = ''").first()
     if not total or not total["p"] or not total["u"]:
         return Model({}, math.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), prior)
@@ -187,11 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts.unpersist()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "_text"):
+        for b in blocks(batches, "_text", 1 << 20):
             rows = [[i for i in map(vocabulary.get, sorted(features(x))) if i is not None] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], ["_p", "at"])
 
-    rows = sample.mapInArrow(project, "_p int, at array<int>").collect()  # bounded: sample rows of at most FEATURES numbers
+    rows = sample.mapInArrow(tidy(project), "_p int, at array<int>").collect()  # bounded: sample rows of at most FEATURES numbers
     rows.sort(key=lambda r: (r["_p"], r["at"]))
     pos = [np.array(r["at"], np.int64) for r in rows if r["_p"]]
     unl = [np.array(r["at"], np.int64) for r in rows if not r["_p"]]
@@ -216,12 +224,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col, 4 << 20):
+        for b in blocks(batches, text_col, 1 << 20):
             s = [model.score(x or "") for x in b.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{name}` double")
+    return docs.mapInArrow(tidy(run), f"{schema}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

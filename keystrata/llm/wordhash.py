@@ -12,6 +12,9 @@ _U = np.uint64
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
+#: Bytes of text that are hashed at once, about; one text at least.
+RUN_BYTES = 256 << 10
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -36,9 +39,22 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of ``texts`` in order, and where each text's words end.
 
     A word's hash is a polynomial of its bytes, taken from running sums, so a block is
-    hashed in a few passes whatever its words are.
+    hashed in a few passes whatever its words are. The passes hold some 40 bytes for each
+    byte of text, so texts are taken by runs of about ``RUN_BYTES``.
     """
-    raw = [(t or "").lower().encode() for t in texts]
+    hashes, ends, run, held, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [], 0, 0
+    for i, t in enumerate(texts, 1):
+        run.append((t or "").lower().encode())
+        held += len(run[-1])
+        if held >= RUN_BYTES or i == len(texts):
+            h, e = _run_hashes(run)
+            hashes.append(h)
+            ends.append(e + words)
+            run, held, words = [], 0, words + len(h)
+    return np.concatenate(hashes), np.concatenate(ends)
+
+
+def _run_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(r) + 1 for r in raw])
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     inside = np.concatenate([[False], _IN_WORD[data], [False]])

@@ -512,3 +512,35 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     rows = line_dedup.dedup_lines(odd_docs).collect()
     assert sorted((r.doc_id or 0, r.text is None, r.n_dropped) for r in rows) == [(0, False, 0), (1, False, 0), (2, True, 0), (3, False, 0), (4, False, 0), (5, False, 1), (5, False, 1), (6, False, 0)]
     assert line_dedup.dedup_lines(no_docs).collect() == []
+
+
+def test_hashing_a_large_block_takes_little_memory(monkeypatch):
+    """Texts are hashed by runs, which give the hashes of one pass."""
+    import tracemalloc
+
+    texts = ["words of a text, " * 1_000, None, "", "ünd"] * 250
+    monkeypatch.setattr(wordhash, "RUN_BYTES", 1 << 30)
+    want = wordhash.word_hashes(texts)
+    monkeypatch.undo()
+    wordhash._powers[:] = [np.ones(1, np.uint64)] * 2
+    tracemalloc.start()
+    got = wordhash.word_hashes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((x == y).all() and x.dtype == y.dtype for x, y in zip(got, want, strict=True))
+    assert peak < 100e6  # 165 MB in one pass over these 4 MB
+
+
+def test_counts_passed_on_early_give_the_same_model(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "HELD", 200)
+    assert toxicity.train(docs, labels) == want
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    from keystrata.llm import shared
+
+    calls = []
+    monkeypatch.setattr(shared, "release", lambda: calls.append(1))
+    assert list(shared.tidy(iter)([1, 2])) == [1, 2] and calls == [1]
